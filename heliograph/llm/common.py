@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,20 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which may not have it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="heliograph-"), "heliograph.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        spark.sparkContext.addPyFile(str(path))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +114,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     The two limits are session settings; they are lowered here, never raised.
     """
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(str(conf.get(key)).rstrip("bB") or 0)
