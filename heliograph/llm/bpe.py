@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import arrow_map, batch, table
+from heliograph.llm.common import arrow_map, batch, extended, table
 
 #: The published pattern of byte-level BPE pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -165,9 +165,7 @@ def encode_column(df: DataFrame, text_col: str = "text", path: str | None = None
     """Adds the ids of each whole text (null: empty) as array<int>, and if named, the text decoded from them."""
     names = [c for c in df.columns if c not in (out_col, decoded_col)]
     kept = df.select(*[F.col(f"`{c}`") for c in names])
-    schema = kept.schema.add(out_col, "array<int>")
-    if decoded_col:
-        schema = schema.add(decoded_col, "string")
+    schema = extended(kept.schema, f"`{out_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
     def run(it):
         enc = encoder(path or public_vocabulary())

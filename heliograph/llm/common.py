@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -123,6 +124,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema with further fields (``StructType.add`` would change a DataFrame's own)."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(ddl).fields])
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

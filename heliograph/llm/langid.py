@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import arrow_map, batch, in_fold, share_under, table
+from heliograph.llm.common import arrow_map, batch, extended, in_fold, share_under, table
 
 #: Labelled texts learned from, the longest n-gram, and the least count of a word or n-gram that is kept.
 SAMPLE, LONGEST, LEAST, SMOOTH = 8_000, 5, 2, 0.5
@@ -123,7 +123,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("text__"))
-    schema = out.drop("text__").schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(out.drop("text__").schema, "lang_pred string, score double")
 
     def run(it):
         m = sent.value

@@ -64,7 +64,7 @@ def anchors_of(b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(stays & inside)
     d = doc[at]
     first = np.searchsorted(doc, d)
-    # many equal hashes in a row (repeated words): one of every WINDOW - GRAM // 8 positions is enough
+    # many equal hashes in a row (repeated words): one of every WINDOW - 3 positions is enough
     order = np.lexsort((at, g[at], d))
     p, key, own = at[order], g[at][order], d[order]
     chain = np.zeros(len(p), bool)

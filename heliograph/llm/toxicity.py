@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import arrow_map, batch, in_fold, share_under, table
+from heliograph.llm.common import arrow_map, batch, extended, in_fold, share_under, table
 
 SAMPLE, TERMS, LEAST, GAIN = 20_000, 600, 4, 24.0
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str =
             z = np.concatenate([features(terms, k.texts) @ w[:-1] + w[-1] for _, _, k in tk.blocks(b.column(len(keep)).to_pylist())] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*keep, "score"])
 
-    return arrow_map(out, run, out.drop("text__").schema.add("score", "double"))
+    return arrow_map(out, run, extended(out.drop("text__").schema, "score double"))
 
 
 #: The query's contract: labels in fold 1 of 3 are never learned from; a score of 0.7 or more is predicted toxic.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import arrow_map, batch, share_under, table
+from heliograph.llm.common import arrow_map, batch, extended, share_under, table
 
 SAMPLE, ORDER, FOLDS = 20_000, 5, 5
 
@@ -174,7 +174,7 @@ def score(df: DataFrame, model: Model | None, url_col: str, keep: list[str]) ->
             p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p, pa.float64())], names=[*keep, "p_allow"])
 
-    return arrow_map(out, run, out.drop("url__").schema.add("p_allow", "double"))
+    return arrow_map(out, run, extended(out.drop("url__").schema, "p_allow double"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
