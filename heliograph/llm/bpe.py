@@ -197,3 +197,9 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds token_ids and n_tokens; a document whose decoded ids aren't its text would go (none does)."""
+    out = encode_column(docs, decoded_col="decoded__")
+    return out.filter(F.col("decoded__") == F.coalesce("text", F.lit(""))).drop("decoded__").withColumn("n_tokens", F.size("token_ids").cast("long"))

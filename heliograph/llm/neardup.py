@@ -3,11 +3,15 @@
 1. A document's set of word shingles is hashed once; it keeps the set's size, a 128-bit
    fingerprint and the ``K`` smallest hashes (its sketch). Equal sets form one class, which
    one document stands for from there on.
-2. Inverted lists of retained hashes give overlaps. Only a document's rarest hashes are listed,
-   as many as it takes for two sketches that overlap enough to meet in a list. Each list is
-   compared with its smallest document first; lists all of whose documents turn out connected
-   are done, so a group of thousands of copies costs one comparison a copy. What remains is
-   compared with further leaders, and at last in full, in blocks of fixed size: nothing is capped.
+2. Inverted lists of retained hashes give overlaps. A list's key is three hashes that follow each
+   other in a sketch, which unrelated documents hardly share, even if a common passage makes
+   up a good part of both. Similar documents nearly always do: of the hashes of both sketches
+   four in five are common at the threshold, and 48 draws at such odds lack a run of three once
+   in twenty million. (Sets of up to K hashes are whole; there a fifth of other hashes can't
+   break all runs of three if there are six, and up to five are listed by neighbours too.)
+   A list is compared with its smallest document first, so a group of thousands of copies costs
+   one comparison a copy; lists all of whose documents turn out connected are done. In the
+   others each document outside the largest part is compared with all, in blocks of fixed size.
 3. The sketch of the union (the smallest hashes of both) estimates the similarity; pairs far
    below the threshold are left out. A pair at the threshold fails this by chance about once in
    six million. 4. The full sets, made from both texts, decide. 5. Components of the links.
@@ -25,9 +29,9 @@ from heliograph.llm.common import Shelf, arrow_map, batch, table
 from heliograph.llm.graphs import components
 
 #: Hashes retained, and the least overlap of two full sketches at a similarity of 0.8.
-K, OVERLAP = 32, 13
-#: Documents a block, and comparisons a document for which all pairs of the lists are taken at once.
-BLOCK, PAIRS_EACH, LEADERS = 64, 8, 6
+K, OVERLAP = 48, 23
+#: Documents a block; comparisons a document up to which lists are compared in blocks at once; rounds of leaders before that in any case.
+BLOCK, PAIRS_EACH, LEADERS = 64, 50, 4
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,20 +75,16 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, fp binary, sketch array<long>")
 
 
-def _prefix(n: Column, percent: int) -> Column:
-    """How many of its rarest hashes a document lists."""
-    least = F.ceil(n * percent / 100)  # of the overlap, where no partner's sketch is cut short
-    return F.when(n * 100 <= K * percent, n - least + 1).otherwise(F.least(n, F.lit(K)) - OVERLAP + 1).cast("int")
-
-
-def postings(reps: DataFrame, percent: int) -> DataFrame:
-    """(value, rep): each document under its rarest retained hashes that others have too."""
-    all_ = reps.select("rep", "n", F.explode("sketch").alias("value"))
-    shared = all_.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    per = all_.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("common"))
-    size = F.least(F.col("n"), F.lit(K)).cast("int")
-    room = _prefix(F.col("n"), percent) - (size - F.size("common"))
-    return per.select("rep", F.explode(F.slice("common", F.lit(1), F.greatest(room, F.lit(0)))).alias("c")).select(F.col("c.value").alias("value"), "rep")
+def postings(reps: DataFrame) -> DataFrame:
+    """(value, rep, leader, size): each document under the runs of its retained hashes that another document has too, with the list's smallest document and its length."""
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("sketch") - (n - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(n)]))
+    none = F.array().cast("array<bigint>")
+    three = F.when(F.size("sketch") > 2, run(3)).otherwise(none)
+    # a set of one shingle is linked with equal sets only, which are one class already
+    two = F.when((F.size("sketch") > 1) & (F.col("n") <= 5), run(2)).otherwise(none)
+    keys = reps.select("rep", F.explode(F.array_distinct(F.concat(three, two))).alias("value"))
+    lists = keys.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    return keys.join(lists, "value")
 
 
 def _alike(percent: int) -> Column:
@@ -128,35 +128,45 @@ def _with_sketches(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame
 
 
 def _in_blocks(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in the lists (value, rep, root, size), from blocks of fixed size.
+    """Pairs of different components in lists (value, rep, root, major, strays, majors), from blocks of fixed size.
 
-    A list of L documents is dealt into about L / BLOCK buckets by a hash of the document; each
-    two buckets meet in one group, whose pairs are judged by their sketches before they leave it.
+    ``major`` marks the documents of the list's largest part, which are connected. The others are
+    dealt into blocks by a hash; each of these meets each other one and each block of the major
+    part in one group, whose pairs are judged by their sketches before they leave it.
     """
-    buckets = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = lists.join(reps.select("rep", "n", "sketch"), "rep").withColumn("buckets", buckets)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "value"), F.col("buckets")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-    group = meets.groupBy("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list(F.struct("rep", "root", "n", "sketch", "own")).alias("m"))
+    ceil = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    dealt = lists.join(reps.select("rep", "n", "sketch"), "rep").withColumns({"bs": ceil("strays"), "bm": ceil("majors")})
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "value"), F.when(F.col("major"), F.col("bm")).otherwise(F.col("bs"))).cast("int"))
+    up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own = F.col("own")
+    with_strays = F.transform(up_to("bs"), lambda i: F.when(F.col("major"), key(1, i, own)).otherwise(key(0, F.least(i, own), F.greatest(i, own))))
+    with_major = F.when(~F.col("major"), F.transform(up_to("bm"), lambda j: key(1, own, j))).otherwise(F.slice(with_strays, 1, 0))
+    meets = dealt.select("value", "rep", "root", "n", "sketch", "major", "own", F.explode(F.concat(with_strays, with_major)).alias("g"))
+    group = meets.groupBy("value", "g").agg(F.collect_list(F.struct("rep", "root", "n", "sketch", F.when(F.col("g.kind") == 1, F.col("major").cast("int")).otherwise(F.col("own")).alias("side"))).alias("m"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it):
         for k in it:
             out = set()
-            for x, y, m in zip(*(c.to_pylist() for c in k.columns), strict=True):
-                for i, p in enumerate(m):
-                    s = np.array(p["sketch"])
-                    for q in m[:i]:
-                        if p["root"] == q["root"] or (x != y and p["own"] == q["own"]) or 100 * min(p["n"], q["n"]) < percent * max(p["n"], q["n"]):
-                            continue
-                        t = np.array(q["sketch"])
-                        union = np.union1d(s, t)[:K]
-                        both = len(np.intersect1d(np.intersect1d(s, t, True), union, True))
-                        if both * 100 >= percent * len(union) if len(union) < K else both >= OVERLAP:
-                            out.add((max(p["rep"], q["rep"]), min(p["rep"], q["rep"])))
+            for kind, x, y, m in zip(*(c.to_pylist() for c in k.columns), strict=True):
+                rep, root, n, side = (np.array([r[f] for r in m]) for f in ("rep", "root", "n", "side"))
+                sketch = [np.array(r["sketch"]) for r in m]
+                values, at = np.unique(np.concatenate(sketch), return_inverse=True)
+                has = np.zeros((len(m), len(values)), np.float32)
+                has[np.repeat(np.arange(len(m)), [len(s) for s in sketch]), at] = 1
+                both, least, most = has @ has.T, np.minimum.outer(n, n), np.maximum.outer(n, n)
+                may = (rep[:, None] > rep[None, :]) & (root[:, None] != root[None, :]) & (100 * least >= percent * most) & (both >= np.minimum(OVERLAP, np.ceil(least * percent / 100)))
+                if kind == 1 or x != y:
+                    may &= side[:, None] != side[None, :]
+                for i, j in zip(*np.nonzero(may), strict=True):
+                    union = np.union1d(sketch[i], sketch[j])[:K]
+                    common = len(np.intersect1d(np.intersect1d(sketch[i], sketch[j], True), union, True))
+                    if common * 100 >= percent * len(union) if len(union) < K else common >= OVERLAP:
+                        out.add((int(rep[i]), int(rep[j])))
             yield batch(schema, [list(c) for c in zip(*sorted(out))] if out else [[], []])
 
-    return arrow_map(group.select("x", "y", "m"), run, "a long, b long").distinct()
+    return arrow_map(group.select("g.kind", "g.x", "g.y", "m"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: Shelf | None = None) -> DataFrame:
@@ -177,38 +187,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: S
     classes = shelf.put("classes", classes)
     reps = some.select("doc_id", "fp", "n", "sketch").join(classes.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sketch")
     reps = shelf.put("reps", reps)
-    lists = shelf.put("lists", postings(reps, percent))
-
-    edges, tried, r = None, None, 0
-    root = None
+    lists = shelf.put("lists", postings(reps))
+    first = lists.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = shelf.put("pairs-0", _with_sketches(first, reps, percent))
+    tried, edges = pairs, shelf.put("edges-0", _verified(pairs, docs, words, percent))
+    # lists of two are done: their documents have met
+    lists = lists.filter("size > 2").select("value", "rep")
+    many = PAIRS_EACH * reps.count()
+    r = 0
     while True:
-        rank = F.col("rep") if not r else F.xxhash64("rep", F.lit(r))
-        now = lists if root is None else lists.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("root", "rep").alias("root"))
-        if root is None:
-            now = now.withColumn("root", F.col("rep"))
-        summary = now.groupBy("value").agg(F.min(F.struct(rank.alias("k"), F.col("rep").alias("leader"), F.col("root").alias("leader_root"))).alias("l"), F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y")
-        if r:
-            # two documents of a list have met in the first round already
-            summary = shelf.put(f"summary-{r}", summary.filter("size > 2"))
-            left = summary.agg(F.count("*").alias("lists"), F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("pairs")).first()
-            if not left["lists"]:
-                break
-            if r > LEADERS or left["pairs"] <= PAIRS_EACH * reps.count():
-                pairs = _in_blocks(now.join(summary.select("value", "size"), "value"), reps, percent)
-                if tried is not None:
-                    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-                edges = edges.unionByName(shelf.put("edges-blocks", _verified(pairs, docs, words, percent)))
-                root = shelf.put("root-blocks", components(edges, shelf, "cc-blocks"))
-                break
-        pairs = now.join(summary.select("value", "l.leader", "l.leader_root"), "value").filter("rep <> leader and root <> leader_root").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = shelf.put(f"pairs-{r}", _with_sketches(pairs, reps, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = shelf.put(f"edges-{r}", _verified(pairs, docs, words, percent))
-        edges = found if edges is None else edges.unionByName(found)
         root = shelf.put(f"root-{r}", components(edges, shelf, f"cc-{r}"))
         r += 1
+        placed = lists.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("root", "rep").alias("root"))
+        parts = placed.groupBy("value").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep", "root")).alias("l")).filter("main <> last")
+        open_ = placed.join(parts.select("value", "main", F.col("l.rep").alias("leader"), F.col("l.root").alias("leader_root")), "value").withColumn("major", F.col("root") == F.col("main"))
+        open_ = shelf.put(f"open-{r}", open_)
+        sizes = open_.groupBy("value").agg(F.sum(F.col("major").cast("int")).alias("majors"), F.sum((~F.col("major")).cast("int")).alias("strays"))
+        work = sizes.agg(F.sum(F.col("strays") * (F.col("majors") + F.col("strays")))).first()[0]
+        if not work:
+            break
+        last = work <= many or r > LEADERS
+        if last:
+            found = _in_blocks(open_.select("value", "rep", "root", "major").join(sizes, "value"), reps, percent)
+        else:
+            found = open_.filter("rep <> leader and root <> leader_root").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+        found = found.join(tried, ["a", "b"], "left_anti")
+        pairs = shelf.put(f"pairs-{r}", found if last else _with_sketches(found, reps, percent))
+        tried = tried.unionByName(pairs)
+        edges = edges.unionByName(shelf.put(f"edges-{r}", _verified(pairs, docs, words, percent)))
+        if last:
+            root = shelf.put("root-last", components(edges, shelf, "cc-last"))
+            break
+    shelf.clear("sketches", "classes", "root-last" if "root-last" in shelf.paths else f"root-{r - 1}")
 
     of = made.join(classes.select("fp", "rep"), "fp", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
@@ -223,6 +233,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the smallest id's (documents without id too). Shingles of five words."""
     shelf = Shelf(spark, "neardup-stage")
     gone = shelf.put("gone", near_duplicates(docs, words=5, shelf=shelf).filter("not kept and doc_id is not null").select("doc_id").distinct())
+    shelf.clear("gone")
     left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     ids = docs.filter("doc_id is not null").select("doc_id")
     repeated = shelf.put("repeated", ids.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
