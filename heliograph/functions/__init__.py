@@ -1 +1 @@
-"""Heliograph functions."""
+"""Scalar building blocks as column expressions."""

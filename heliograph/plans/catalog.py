@@ -1,6 +1,645 @@
-"""Registered queries over the driver's tables, with the SQL that checks them."""
+"""Registered queries over the driver's tables, with the SQL that checks them.
+
+Each query is built from the library's operators; the SQL beside it says the same for DuckDB.
+Scores are rounded on both sides before they rank, and every ranking ends with the id.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from heliograph.functions import text as T
+from heliograph.functions.vectors import dot_i8, l2_normalize, quantize_i8
+from heliograph.operators import bm25, dedup, dml, fusion, metrics, vector
+from heliograph.plans.recall import CodeRecallConfig, Mode, RecallConfig, context, expand, recall, recall_code
+from heliograph.sources.readers import EXCLUDES
+from heliograph.sources.store import SYNONYM_PAIRS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TEXT = "with the thshed erhesh and of onha"
+CODE_TEXT = "example blog tionsh html net title"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with ``sec``, seconds since 1970. Times without a zone are taken as UTC, whatever the session's zone."""
+    e = read(spark, d, "events")
+    ts = F.col("ts") if dict(e.dtypes)["ts"] == "timestamp" else F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    return e.withColumn("sec", F.unix_seconds(ts))
+
+
+def obs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as observations."""
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), F.col("lang").alias("kind"), F.col("text").alias("body"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vector.quantized(read(spark, d, "embeddings")).withColumnRenamed("vec_id", "id")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as code chunks: the url is the path, the language the url's second part of the path."""
+    p = read(spark, d, "pages")
+    return p.select(F.col("page_id").alias("id"), F.col("url").alias("path"), F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1).alias("language"), F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("qualified"), F.col("html").alias("body"))
+
+
+def synonyms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*SYNONYM_PAIRS, *((b, a) for a, b in SYNONYM_PAIRS)], "term string, expansion string").distinct()
+
+
+def one_query(spark: SparkSession, d: str, text: str = TEXT) -> DataFrame:
+    q8 = vectors(spark, d).filter("id = 0").select(F.col("emb_q8").alias("q8"))
+    return q8.select(F.lit(0).cast("long").alias("qid"), F.lit(text).alias("text"), "q8")
+
+
+# --- SQL pieces -----------------------------------------------------------------------------
+def s_tokens(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) < 40)"
+
+
+def s_code(c: str) -> str:
+    return f"list_transform(regexp_extract_all(regexp_replace({c}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]+[a-z0-9]*|[a-z0-9]+'), lambda t: lower(t))"
+
+
+def s_path(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({c}), '[\\s/_\\-.]+'), lambda t: t <> '')"
+
+
+S_OBS = "obs AS (SELECT doc_id AS id, source AS grp, lang AS kind, text AS body FROM documents)"
+S_Q8 = "list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round(x * 127::FLOAT))) AS TINYINT))"
+S_VEC = f"vec AS (SELECT vec_id AS id, {S_Q8} AS emb_q8 FROM embeddings)"
+S_PAGES = "chunks AS (SELECT page_id AS id, url AS path, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS language, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS qualified, html AS body FROM pages)"
+S_ONE = f"q AS (SELECT 0::BIGINT AS qid, '{TEXT}' AS text)"
+S_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::INT * p[2]::INT))"
+
+
+def s_bm25(corpus: str = "obs", q: str = "q", fields: tuple[str, ...] = ("body",), tokens: Callable[[str], str] = s_tokens, name: str = "bm") -> str:
+    """CTEs that end with ``name`` (qid, id, score)."""
+    parts = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {tokens(f'coalesce({f}, chr(32))')} AS toks FROM {corpus}" for f in fields)
+    return f"""{name}_d AS ({parts}), {name}_n AS (SELECT field, count(*) AS n, avg(len(toks)) AS avgdl FROM {name}_d GROUP BY field),
+{name}_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tokens('text')}) AS term FROM {q}) GROUP BY ALL),
+{name}_tf AS (SELECT id, field, dl, term, count(*) AS tf FROM (SELECT id, field, len(toks) AS dl, unnest(toks) AS term FROM {name}_d) WHERE term IN (SELECT term FROM {name}_q) GROUP BY ALL),
+{name}_df AS (SELECT field, term, count(*) AS df FROM {name}_tf GROUP BY ALL),
+{name} AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
+  FROM {name}_tf JOIN {name}_df USING (field, term) JOIN {name}_n USING (field) JOIN {name}_q USING (term) GROUP BY qid, id)"""
+
+
+def s_top(source: str, name: str, k: int) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {source}) WHERE rank <= {k})"
+
+
+S_DOTS = "dots AS (SELECT 0::BIGINT AS qid, v.id, max(" + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + ") AS score FROM vec v, vec z WHERE z.id = 0 AND v.id IN (SELECT id FROM {corpus}) GROUP BY v.id)"
+
+
+def s_fuse(*streams: str, name: str = "fused") -> str:
+    both = " UNION ALL ".join(f"SELECT qid, id, rank FROM {s}" for s in streams)
+    return f"{name} AS (SELECT qid, id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM ({both}) GROUP BY qid, id)"
+
+
+def s_diverse(source: str, group: str, cap: int, limit: int, name: str = "best") -> str:
+    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY qid, {group} ORDER BY score DESC, id) AS rn FROM {source}),
+{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn > {cap}, score DESC, id) AS position FROM {name}_r) WHERE position <= {limit})"""
+
+
+def s_recall(streams: list[str], q: str = S_ONE, cap: int = 3, limit: int = 10) -> str:
+    ctes = [S_OBS, q]
+    if "bm" in streams:
+        ctes += [s_bm25(), s_top("bm", "bm_top", 50)]
+    if "vec" in streams:
+        ctes += [S_VEC, S_DOTS.format(corpus="obs"), s_top("dots", "vec_top", 50)]
+    ctes += [s_fuse(*(f"{s}_top" for s in streams)), "grouped AS (SELECT f.*, grp FROM fused f JOIN obs USING (id))", s_diverse("grouped", "grp", cap, limit)]
+    return "WITH " + ",\n".join(ctes)
+
+
+S_HYDRATED = "\nSELECT b.qid, b.position, b.id, o.grp, b.score, o.kind, o.body FROM best b JOIN obs o USING (id)"
+
+
+# --- retrieval ------------------------------------------------------------------------------
+@query(s_recall(["bm", "vec"]) + S_HYDRATED)
+def hybrid_recall(spark, d):
+    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), synonyms(spark))
+
+
+@query(s_recall(["bm"]) + S_HYDRATED)
+def hybrid_recall_mode_bm25(spark, d):
+    return recall(obs(spark, d), None, one_query(spark, d), synonyms(spark), RecallConfig(mode=Mode.BM25))
+
+
+@query(s_recall(["vec"]) + S_HYDRATED)
+def hybrid_recall_mode_vector(spark, d):
+    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), synonyms(spark), RecallConfig(mode=Mode.VECTOR))
+
+
+@query(s_recall(["bm", "vec"]) + S_HYDRATED)
+def hybrid_recall_no_synonyms(spark, d):
+    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), None, RecallConfig(synonyms=False))
+
+
+@query(f"WITH {S_OBS}, {S_ONE}, {s_bm25()}, {s_top('bm', 't', 50)} SELECT qid, id, score, rank FROM t")
+def bm25_topk(spark, d):
+    return bm25.top(bm25.scores(obs(spark, d), one_query(spark, d)), 50)
+
+
+@query(f"WITH {S_OBS.replace('FROM documents', chr(70) + 'ROM documents WHERE lang = ' + chr(39) + 'de' + chr(39))}, q AS (SELECT 0::BIGINT AS qid, 'der und enheit' AS text), {s_bm25()}, {s_top('bm', 't', 50)} SELECT qid, id, score, rank FROM t")
+def bm25_language_filter(spark, d):
+    return bm25.top(bm25.scores(obs(spark, d).filter("kind = 'de'"), one_query(spark, d, "der und enheit")), 50)
+
+
+S_BENCH = "q AS (SELECT item_id AS qid, text FROM benchmark)"
+
+
+def bench(spark, d) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+@query(f"WITH {S_OBS}, {S_BENCH}, {s_bm25()}, {s_top('bm', 'bm_top', 50)}, {s_fuse('bm_top')}, grouped AS (SELECT f.*, grp FROM fused f JOIN obs USING (id)), {s_diverse('grouped', 'grp', 3, 10)} SELECT qid, position, id, grp, score FROM best")
+def batch_recall(spark, d):
+    return recall(obs(spark, d).select("id", "grp", "body"), None, bench(spark, d), None, RecallConfig(mode=Mode.BM25, synonyms=False)).drop("body")
+
+
+def s_code_bm(where: str = "") -> str:
+    return f"WITH {S_PAGES.replace('FROM pages', 'FROM pages' + where)}, paths AS (SELECT *, path AS path_text FROM chunks), q AS (SELECT 0::BIGINT AS qid, '{CODE_TEXT}' AS text), {s_bm25('paths', 'q', ('body', 'qualified', 'path_text'), s_code)}, {s_top('bm', 'bm_top', 50)}"
+
+
+@query(s_code_bm() + " SELECT qid, id, score, rank FROM bm_top")
+def code_bm25_multifield(spark, d):
+    p = pages(spark, d).withColumn("path_text", F.col("path"))
+    return bm25.top(bm25.scores(p, one_query(spark, d, CODE_TEXT), T.code_tokens, ("body", "qualified", "path_text")), 50)
+
+
+def s_code_recall(where: str = "") -> str:
+    boost = f"boosted AS (SELECT qid, id, path, round(score + 0.02::DOUBLE * len(list_filter({s_path(repr(CODE_TEXT))}, lambda t: list_contains({s_path('path')}, t))), 9) AS score FROM fused JOIN chunks USING (id))"
+    return s_code_bm(where) + f", {S_VEC}, {S_DOTS.format(corpus='chunks')}, {s_top('dots', 'vec_top', 50)}, {s_fuse('bm_top', 'vec_top')}, {boost}, {s_diverse('boosted', 'path', 2, 10)} SELECT qid, position, id, c.path, language, qualified, round(score, 6) AS score FROM best JOIN chunks c USING (id)"
+
+
+def code_result(df: DataFrame) -> DataFrame:
+    return df.select("qid", "position", "id", "path", "language", "qualified", F.round("score", 6).alias("score"))
+
+
+@query(s_code_recall())
+def code_recall(spark, d):
+    return code_result(recall_code(pages(spark, d), vectors(spark, d), one_query(spark, d, CODE_TEXT), CodeRecallConfig(stem=False)))
+
+
+@query(s_code_recall(" WHERE starts_with(url, 'https://') AND regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) = 'en'"))
+def code_recall_filtered(spark, d):
+    return code_result(recall_code(pages(spark, d), vectors(spark, d), one_query(spark, d, CODE_TEXT), CodeRecallConfig(stem=False, language="en", path_prefix="https://")))
+
+
+@query()
+def code_recall_stemmed(spark, d):
+    return code_result(recall_code(pages(spark, d), None, one_query(spark, d, CODE_TEXT), CodeRecallConfig(mode=Mode.BM25)))
+
+
+@query("SELECT page_id, term, count(*) AS tf FROM (SELECT page_id, unnest(" + s_code("url") + ") AS term FROM pages) GROUP BY ALL")
+def code_tokenize_tf(spark, d):
+    return read(spark, d, "pages").select("page_id", F.explode(T.code_tokens(F.col("url"))).alias("term")).groupBy("page_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query("SELECT item_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda t: lower(t)), lambda t: strlen(t) >= 2), ' ') AS tokens FROM benchmark")
+def query_tokens(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("tokens"))
+
+
+S_SYN = "syn(term, expansion) AS (VALUES " + ", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in SYNONYM_PAIRS) + ")"
+S_ASK = "ask AS (SELECT event_id AS qid, CASE event_id % 4 WHEN 0 THEN 'k8s ' WHEN 1 THEN 'the DB api ' WHEN 2 THEN 'ci repo ' ELSE '' END || event_type AS text FROM events)"
+
+
+@query(f"""WITH {S_SYN}, {S_ASK}, tok AS (SELECT qid, list_filter(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda t: lower(t)), lambda t: strlen(t) >= 2) AS own FROM ask),
+ex AS (SELECT qid, list_sort(list(DISTINCT expansion)) AS more FROM (SELECT qid, unnest(own) AS term FROM tok) JOIN syn USING (term) GROUP BY qid)
+SELECT qid, array_to_string(list_concat(own, list_filter(coalesce(more, []), lambda e: NOT list_contains(own, lower(e)))), ' ') AS tokens FROM tok LEFT JOIN ex USING (qid)""")
+def synonym_expand(spark, d):
+    q = events(spark, d).select(F.col("event_id").alias("qid"), F.concat(F.when(F.col("event_id") % 4 == 0, "k8s ").when(F.col("event_id") % 4 == 1, "the DB api ").when(F.col("event_id") % 4 == 2, "ci repo ").otherwise(""), "event_type").alias("text"))
+    return expand(q, synonyms(spark)).select("qid", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"SELECT id, array_to_string(emb_q8, ',') AS q8 FROM (WITH {S_VEC} SELECT * FROM vec)")
+def quantize_vectors(spark, d):
+    return vectors(spark, d).select("id", F.array_join(F.transform("emb_q8", lambda x: x.cast("string")), ",").alias("q8"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, 1.0::DOUBLE AS after FROM embeddings")
+def l2_norms(spark, d):
+    e = read(spark, d, "embeddings")
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return e.select("vec_id", F.round(norm(F.col("embedding")), 4).alias("norm"), F.round(norm(l2_normalize(F.col("embedding"))), 4).alias("after"))
+
+
+@query(f"WITH {S_VEC}, dots AS (SELECT 0::BIGINT AS qid, v.id, " + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + "::BIGINT AS score FROM vec v, vec z WHERE z.id = 0), " + s_top("dots", "t", 50) + " SELECT * FROM t")
+def vector_topk_i8(spark, d):
+    return bm25.top(vector.scores(vectors(spark, d), one_query(spark, d)), 50)
+
+
+@query(f"WITH {S_VEC}, dots AS (SELECT z.id AS qid, v.id, " + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + "::BIGINT AS score FROM vec v, vec z WHERE z.id % 100 = 0), " + s_top("dots", "t", 10) + " SELECT * FROM t")
+def vector_batch_topk(spark, d):
+    q = vectors(spark, d).filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("emb_q8").alias("q8"))
+    return bm25.top(vector.scores(vectors(spark, d), q), 10)
+
+
+@query(f"WITH vec AS (SELECT vec_id // 4 AS id, vec_id, {S_Q8} AS emb_q8 FROM embeddings), dots AS (SELECT 0::BIGINT AS qid, v.id, max(" + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + ")::BIGINT AS score FROM vec v, vec z WHERE z.vec_id = 0 GROUP BY v.id), " + s_top("dots", "t", 50) + " SELECT * FROM t")
+def vector_maxpool_group(spark, d):
+    chunks = vectors(spark, d).withColumn("id", F.expr("id div 4"))
+    return bm25.top(vector.scores(chunks, one_query(spark, d)), 50)
+
+
+@query(f"WITH {S_OBS}, {S_ONE}, {s_bm25()}, {s_top('bm', 'bm_top', 50)}, {S_VEC}, {S_DOTS.format(corpus='obs')}, {s_top('dots', 'vec_top', 50)}, {s_fuse('bm_top', 'vec_top')} SELECT qid, id, score FROM fused")
+def rrf_fuse(spark, d):
+    o, v, q = obs(spark, d), vectors(spark, d), one_query(spark, d)
+    return fusion.fuse([bm25.top(bm25.scores(o, q), 50), bm25.top(vector.scores(v.join(o, "id", "left_semi"), q), 50)])
+
+
+@query(f"SELECT page_id, len(list_filter({s_path(repr('Blog example COM example en'))}, lambda t: list_contains({s_path('url')}, t)))::BIGINT AS matches FROM pages")
+def path_boost(spark, d):
+    return read(spark, d, "pages").select("page_id", T.segment_matches(F.col("url"), T.path_tokens(F.lit("Blog example COM example en"))).cast("long").alias("matches"))
+
+
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://www.')")
+def path_prefix_filter(spark, d):
+    return read(spark, d, "pages").filter(F.col("url").startswith("https://www.")).select("page_id", "url")
+
+
+@query("WITH s AS (SELECT 0::BIGINT AS qid, doc_id AS id, source AS grp, (doc_id % 97)::DOUBLE AS score FROM documents), " + s_diverse("s", "grp", 3, 60) + " SELECT id, grp, score, position FROM best")
+def diversify_session(spark, d):
+    s = read(spark, d, "documents").select(F.lit(0).cast("long").alias("qid"), F.col("doc_id").alias("id"), F.col("source").alias("grp"), (F.col("doc_id") % 97).cast("double").alias("score"))
+    return fusion.diversify(s, "grp", 3, 60).select("id", "grp", "score", "position")
+
+
+@query("WITH s AS (SELECT 0::BIGINT AS qid, page_id AS id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS path, (page_id % 31)::DOUBLE AS score FROM pages), " + s_diverse("s", "path", 2, 40) + " SELECT id, path, score, position FROM best")
+def diversify_file_backfill(spark, d):
+    s = read(spark, d, "pages").select(F.lit(0).cast("long").alias("qid"), F.col("page_id").alias("id"), F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("path"), (F.col("page_id") % 31).cast("double").alias("score"))
+    return fusion.diversify(s, "path", 2, 40).select("id", "path", "score", "position")
+
+
+@query("WITH s AS (SELECT 0::BIGINT AS qid, page_id AS id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS path, (page_id % 31)::DOUBLE AS score FROM pages), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS rn FROM s) WHERE rn <= 2) SELECT * FROM (SELECT id, path, score, row_number() OVER (ORDER BY score DESC, id) AS position FROM k) WHERE position <= 40")
+def diversify_paths_capped(spark, d):
+    s = read(spark, d, "pages").select(F.lit(0).cast("long").alias("qid"), F.col("page_id").alias("id"), F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("path"), (F.col("page_id") % 31).cast("double").alias("score"))
+    return fusion.capped(s, "path", 2, 40).select("id", "path", "score", "position")
+
+
+def s_first_line(c: str, most: int = 200) -> str:
+    """A first line of at most so many bytes at a character's end: the longest prefix that fits, and a mark."""
+    line = f"regexp_split_to_array({c}, '\\r?\\n')[1]"
+    return f"CASE WHEN strlen({line}) <= {most} THEN {line} ELSE {s_cut(line, most)} || '…' END"
+
+
+def s_cut(c: str, most: int) -> str:
+    """The prefix of n characters, n the largest with at most ``most`` bytes."""
+    return f"left({c}, list_max(list_filter(range(greatest({most} // 4 - 1, 0), {most} + 1), lambda k: strlen(left({c}, k)) <= {most})))"
+
+
+@query(s_recall(["bm", "vec"], limit=20) + f""", lines AS (SELECT b.qid, b.position, '- **[' || o.kind || ']** _' || o.grp || '_: ' || {s_first_line('o.body')} || chr(10) AS line FROM best b JOIN obs o USING (id)),
+used AS (SELECT *, 22 - 1 + sum(strlen(line)) OVER (PARTITION BY qid ORDER BY position) AS used FROM lines)
+SELECT qid, '## Recalled context' || chr(10) || string_agg(line, '' ORDER BY position) AS text FROM used WHERE used - 1 <= 2000 GROUP BY qid""")
+def context_budget(spark, d):
+    return context(recall(obs(spark, d), vectors(spark, d), one_query(spark, d), None, limit=20), 500)
+
+
+# --- ingest ---------------------------------------------------------------------------------
+def s_redact(c: str) -> str:
+    out = c
+    for p in T.SECRETS:
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '[REDACTED]', 'g')"
+    return out
+
+
+def s_secret(c: str) -> str:
+    return "(" + " OR ".join("regexp_matches({}, '{}')".format(c, p.replace("'", "''")) for p in T.SECRETS) + ")"
+
+
+@query(f"SELECT doc_id, md5({s_redact('text')}) AS redacted FROM documents")
+def redact_secrets(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
+
+
+@query(f"SELECT doc_id, {s_secret('text')} AS has_secret FROM documents")
+def has_secret(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.has_secret(F.col("text")).alias("has_secret"))
+
+
+@query(f"SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE {s_cut('text', 1000)} || '…[truncated]' END AS body FROM documents")
+def truncate_body(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.truncate_body(F.col("text"), 1000).alias("body"))
+
+
+@query("SELECT doc_id, i AS chunk_idx, substring(text, i * 1800 + 1, 1800) AS body FROM documents, range(0, 1000000) r(i) WHERE i <= greatest(length(text) - 1, 0) // 1800")
+def chunk_windows(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_windows(F.col("text"))).alias("i", "body")).select("doc_id", F.col("i").cast("long").alias("chunk_idx"), "body")
+
+
+@query("SELECT doc_id, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:4], chr(10)) ELSE '' END AS body FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)")
+def slice_lines(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.slice_lines(F.col("text"), F.lit(2), F.lit(4)).alias("body"))
+
+
+@query("SELECT conv_id, turn, sha256(encode(conv_id::VARCHAR) || '\\x00'::BLOB || encode(role) || '\\x00'::BLOB || encode(text)[1:500]) AS hash FROM conversations")
+def dedup_hash(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.dedup_hash(F.col("conv_id").cast("string"), F.col("role"), F.col("text")).alias("hash"))
+
+
+S_STREAM = "s AS (SELECT event_id, user_id % 5 AS session, event_type AS kind, (epoch_us(ts) // 1000000) AS t FROM events)"
+
+
+@query(f"""WITH RECURSIVE {S_STREAM}, o AS (SELECT *, row_number() OVER (PARTITION BY session, kind ORDER BY t, event_id) AS n FROM s),
+f AS (SELECT session, kind, n, event_id, t AS last, true AS fresh FROM o WHERE n = 1 UNION ALL
+SELECT o.session, o.kind, o.n, o.event_id, CASE WHEN o.t - f.last > 300 THEN o.t ELSE f.last END, o.t - f.last > 300 FROM f JOIN o ON o.session = f.session AND o.kind = f.kind AND o.n = f.n + 1)
+SELECT event_id, session, kind, fresh FROM f""")
+def dedup_window(spark, d):
+    s = events(spark, d).select("event_id", (F.col("user_id") % 5).alias("session"), F.col("event_type").alias("kind"), F.col("sec").alias("t"))
+    return dedup.dedup_window(s, ["session", "kind"], "t", "event_id").select("event_id", "session", "kind", "fresh")
+
+
+@query("SELECT event_id, CASE WHEN k IN (" + ", ".join(f"'{k}'" for k in T.KINDS) + ") THEN k ELSE 'other' END AS kind FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'tool_use' WHEN 1 THEN event_type ELSE 'user_prompt' END AS k FROM events)")
+def kind_normalize(spark, d):
+    k = F.when(F.col("event_id") % 3 == 0, "tool_use").when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise("user_prompt")
+    return events(spark, d).select("event_id", T.normal_kind(k).alias("kind"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE epoch(ts) >= 1705276800")
+def ttl_evict(spark, d):
+    e = events(spark, d).select(F.col("event_id").alias("id"), F.col("sec").alias("ts"), "user_id")
+    return dml.evict_older(e, e.select(F.col("id").alias("obs_id")), 1705276800)[0].select(F.col("id").alias("event_id"), "user_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
+def orphan_anti_join(spark, d):
+    kept = read(spark, d, "documents").filter("lang <> 'en'").select(F.col("doc_id").alias("vec_id"))
+    return read(spark, d, "embeddings").select("vec_id").join(kept, "vec_id", "left_semi")
+
+
+@query("SELECT doc_id, CASE WHEN source = 'src3' THEN 'new' ELSE lang END AS lang FROM documents")
+def upsert_replace(spark, d):
+    t = read(spark, d, "documents").select("source", "doc_id", "lang")
+    return dml.replace_by_key(t, t.filter("source = 'src3'").withColumn("lang", F.lit("new")), "source").select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2')")
+def delete_by_path(spark, d):
+    t = read(spark, d, "documents").select("source", "doc_id")
+    return dml.delete_keys(t, t.filter(F.col("source").isin("src1", "src2")), "source").select("doc_id")
+
+
+@query("SELECT c_custkey, 2000000 + row_number() OVER (ORDER BY c_name, c_custkey) AS id FROM customer")
+def dense_ids(spark, d):
+    existing = spark.range(1).select(F.lit(2000000).cast("long").alias("id"))
+    return dml.with_ids(existing, read(spark, d, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"]).select("c_custkey", "id")
+
+
+@query(f"WITH {S_SYN} SELECT DISTINCT term, expansion FROM syn WHERE term <> 'kubernetes' AND expansion <> 'kubernetes'")
+def synonym_remove(spark, d):
+    return dml.remove_synonym(synonyms(spark), "kubernetes")
+
+
+@query("SELECT page_id FROM pages WHERE NOT (contains(url, '/de/') OR contains(url, 'blog.'))")
+def exclude_filter(spark, d):
+    return read(spark, d, "pages").filter(~T.excluded(F.col("url"), ["/de/", "blog."])).select("page_id")
+
+
+@query("SELECT part_path, CASE e " + " ".join(f"WHEN '{e}' THEN '{g}'" for e, g in T.LANGUAGES.items()) + " END AS language FROM (SELECT part_path, regexp_extract(part_path, '\\.([^./]+)$', 1) AS e FROM (SELECT p_partkey || '/a.b.' || ['rs','tsx','js','py','go','sh','md'][(p_partkey % 7) + 1] AS part_path FROM part))")
+def language_for_path(spark, d):
+    ends = F.array(*map(F.lit, ["rs", "tsx", "js", "py", "go", "sh", "md"]))
+    path = F.concat(F.col("p_partkey").cast("string"), F.lit("/a.b."), F.element_at(ends, (F.col("p_partkey") % 7 + 1).cast("int")))
+    return read(spark, d, "part").select(path.alias("part_path")).select("part_path", T.language_of(F.col("part_path")).alias("language"))
+
+
+ROOTS = ["https://", "https://www.", "http://", "http://blog."]
+
+
+@query("SELECT page_id, coalesce(max_by(root, length(root)), 'other') AS root FROM pages LEFT JOIN (VALUES " + ", ".join(f"('{r}')" for r in ROOTS) + ") t(root) ON starts_with(url, root) GROUP BY page_id")
+def root_longest_prefix(spark, d):
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
+    p = read(spark, d, "pages").select("page_id", "url")
+    return p.join(F.broadcast(roots), p["url"].startswith(roots["root"]), "left").groupBy("page_id").agg(F.coalesce(F.max_by("root", F.length("root")), F.lit("other")).alias("root"))
+
+
+@query("SELECT o.page_id, coalesce(o.m <> n.m OR o.s <> n.s, true) AS stale FROM (SELECT page_id, page_id * 7 AS m, length(html) AS s FROM pages) o LEFT JOIN (SELECT page_id, page_id * 7 AS m, length(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS s FROM pages WHERE page_id % 11 <> 3) n USING (page_id)")
+def stale_flag(spark, d):
+    p = read(spark, d, "pages").select("page_id", (F.col("page_id") * 7).alias("m"), F.length("html").alias("s"))
+    disk = p.filter("page_id % 11 <> 3").select("page_id", F.col("m").alias("m2"), (F.col("s") + F.when(F.col("page_id") % 5 == 0, 1).otherwise(0)).alias("s2"))
+    return p.join(disk, "page_id", "left").select("page_id", F.coalesce((F.col("m") != F.col("m2")) | (F.col("s") != F.col("s2")), F.lit(True)).alias("stale"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
+def session_body(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", T.session_body(F.col("t")).alias("body"))
+
+
+@query("SELECT doc_id, c.k IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT DISTINCT sha256('m:' || text) AS k FROM documents WHERE doc_id % 3 = 0) c ON sha256('m:' || text) = c.k")
+def embed_cache_split(spark, d):
+    t = read(spark, d, "documents").select("doc_id", T.cache_key(F.lit("m"), F.col("text")).alias("key"))
+    cache = t.filter("doc_id % 3 = 0").select("key", F.lit(True).alias("hit")).distinct()
+    return t.join(cache, "key", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query("""SELECT conv_id, turn, kind, body FROM (SELECT conv_id, turn, role, trim(text) AS body, CASE role WHEN 'user' THEN 'user_prompt' WHEN 'assistant' THEN 'assistant_message' ELSE 'subagent_message' END AS kind FROM conversations) WHERE body <> ''""")
+def hook_routing(spark, d):
+    from heliograph.streaming.capture import route
+
+    c = read(spark, d, "conversations")
+    hook = F.when(F.col("role") == "user", "user-prompt-submit").when(F.col("role") == "assistant", "stop").otherwise("subagent-stop")
+    payload = F.to_json(F.struct(F.when(hook == "user-prompt-submit", F.col("text")).alias("prompt"), F.when(hook == "stop", F.col("text")).alias("last_assistant_message"), F.when(hook == "subagent-stop", F.col("text")).alias("content")))
+    return route(c.select("conv_id", "turn", hook.alias("hook"), payload.alias("payload"))).select("conv_id", "turn", "kind", "body")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Read(/f/' || user_id || ':10-29)' WHEN 1 THEN 'Bash($ ls ' || user_id || ', exit=0)' ELSE 'Write(/f/' || user_id || ', 2 lines)' END AS body, CASE WHEN event_id % 7 = 0 THEN 'tool_failure' ELSE 'tool_use' END AS kind FROM events""")
+def tool_ref(spark, d):
+    from heliograph.streaming.capture import tool_reference
+
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 3
+    path = F.concat(F.lit("/f/"), u)
+    name = F.when(k == 0, "Read").when(k == 1, "Bash").otherwise("Write")
+    given = F.when(k == 0, F.to_json(F.struct(path.alias("file_path"), F.lit(10).alias("offset"), F.lit(20).alias("limit")))).when(k == 1, F.to_json(F.struct(F.concat(F.lit("ls "), u).alias("command")))).otherwise(F.to_json(F.struct(path.alias("file_path"), F.lit("a\nb").alias("content"))))
+    answer = F.to_json(F.struct((F.col("event_id") % 7 == 0).alias("is_error"), F.lit(0).alias("exit_code")))
+    return tool_reference(events(spark, d).select("event_id", name.alias("tool_name"), given.alias("tool_input"), answer.alias("tool_response"))).select("event_id", "body", "kind")
+
+
+# --- evaluation -----------------------------------------------------------------------------
+S_RECORDS = "rec AS (SELECT item_id, lang AS question_type, count(*) AS gold_total, list(rank ORDER BY rank) FILTER (WHERE rank <= 60) AS ranks FROM (SELECT b.item_id, d.lang, (d.doc_id * 7 + b.item_id) % 97 + 1 AS rank FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40) GROUP BY ALL), r AS (SELECT question_type, gold_total, coalesce(ranks, []) AS ranks FROM rec)"
+S_METRICS = """count(*) AS n, round(avg((len(list_filter(ranks, lambda x: x <= 5)) > 0)::INT), 6) AS r_at_5, round(avg((len(list_filter(ranks, lambda x: x <= 10)) > 0)::INT), 6) AS r_at_10, round(avg((len(list_filter(ranks, lambda x: x <= 20)) > 0)::INT), 6) AS r_at_20,
+round(avg(coalesce(list_sum(list_transform(list_filter(ranks, lambda x: x <= 10), lambda x: 1::DOUBLE / log2(x + 1))), 0) / list_sum(list_transform(range(1, least(gold_total, 10) + 1), lambda x: 1::DOUBLE / log2(x + 1)))), 6) AS ndcg_at_10,
+round(avg(coalesce(1::DOUBLE / list_min(ranks), 0)), 6) AS mrr, round(avg(len(list_filter(ranks, lambda x: x <= 5)) / 5::DOUBLE), 6) AS p_at_5"""
+
+
+def records(spark, d) -> DataFrame:
+    b, t = read(spark, d, "benchmark"), read(spark, d, "documents")
+    hits = t.join(F.broadcast(b.select("item_id")), t["doc_id"] % 40 == F.col("item_id") % 40).select("item_id", F.col("lang").alias("question_type"), ((F.col("doc_id") * 7 + F.col("item_id")) % 97 + 1).cast("int").alias("rank"))
+    return hits.groupBy("item_id", "question_type").agg(F.count("*").alias("gold_total"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 60, F.col("rank")))).alias("gold_ranks"))
+
+
+@query(f"WITH {S_RECORDS} SELECT {S_METRICS} FROM r")
+def eval_metrics(spark, d):
+    return metrics.evaluate(records(spark, d))
+
+
+@query(f"WITH {S_RECORDS} SELECT question_type, {S_METRICS} FROM r GROUP BY question_type")
+def eval_by_type(spark, d):
+    return metrics.evaluate(records(spark, d), ["question_type"])
+
+
+@query(f"WITH {S_RECORDS} SELECT question_type, {S_METRICS} FROM r GROUP BY ROLLUP (question_type)")
+def eval_rollup(spark, d):
+    return metrics.evaluate(records(spark, d), ["question_type"], rollup=True)
+
+
+@query("WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) FILTER (WHERE i = round((n - 1) * 0.5::DOUBLE)) AS p50, max(value) FILTER (WHERE i = round((n - 1) * 0.95::DOUBLE)) AS p95 FROM o GROUP BY event_type")
+def percentile_nearest_rank(spark, d):
+    return metrics.summary(events(spark, d).filter("value is not null"), ["event_type"], "value").select("event_type", "p50", "p95")
+
+
+@query("SELECT event_type AS phase, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS max, round(sum(value) / sum(sum(value)) OVER (), 6) AS share FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def phase_share(spark, d):
+    s = metrics.summary(events(spark, d).filter("value is not null").withColumnRenamed("event_type", "phase"), ["phase"], "value")
+    return s.select("phase", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "max", F.round("share", 6).alias("share"))
+
+
+@query("SELECT CASE WHEN GROUPING(bucket) = 1 THEN 'overall' ELSE bucket END AS bucket, mode, count(*) AS n, round(avg((rank <= 5)::INT), 6) AS hit_5, round(avg((rank <= 10)::INT), 6) AS hit_10, round(avg((rank <= 20)::INT), 6) AS hit_20, round(avg(1::DOUBLE / rank), 6) AS mrr FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'curated' ELSE 'synthetic' END AS bucket, event_type AS mode, event_id % 60 + 1 AS rank FROM events) GROUP BY GROUPING SETS ((bucket, mode), (mode))")
+def mode_stats(spark, d):
+    e = events(spark, d).select(F.when(F.col("user_id") % 3 == 0, "curated").otherwise("synthetic").alias("bucket"), F.col("event_type").alias("mode"), (F.col("event_id") % 60 + 1).alias("rank"))
+    hits = [F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"hit_{k}") for k in (5, 10, 20)]
+    both = e.groupingSets([["bucket", "mode"], ["mode"]], "bucket", "mode").agg(F.grouping("bucket").alias("g"), F.count("*").alias("n"), *hits, F.round(F.avg(F.lit(1.0) / F.col("rank")), 6).alias("mrr"))
+    return both.withColumn("bucket", F.when(F.col("g") == 1, "overall").otherwise(F.col("bucket"))).drop("g")
+
+
+@query("SELECT CASE WHEN c <= 1 THEN '1' WHEN c <= 4 THEN '2-4' WHEN c <= 8 THEN '5-8' WHEN c <= 16 THEN '9-16' WHEN c <= 32 THEN '17-32' WHEN c <= 64 THEN '33-64' WHEN c <= 128 THEN '65-128' ELSE '129+' END AS bucket, count(*) AS calls, sum(c)::BIGINT AS chunks, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS call_share FROM (SELECT o_orderkey, count(*) * (o_orderkey % 40 + 1) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) GROUP BY 1")
+def bucket_histogram(spark, d):
+    c = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n")).select((F.col("n") * (F.col("o_orderkey") % 40 + 1)).alias("c"))
+    out = c.groupBy(metrics.power_bucket(F.col("c")).alias("bucket")).agg(F.count("*").alias("calls"), F.sum("c").alias("chunks"))
+    return out.withColumn("call_share", F.round(F.col("calls") / F.sum("calls").over(Window.partitionBy()), 6))
+
+
+@query("SELECT lang, count(*) AS n, sum((t > 512)::INT)::BIGINT AS over_cap, round(100 * avg((t > 512)::INT), 6) AS pct, max(t) AS max FROM (SELECT lang, len(regexp_split_to_array(trim(text), '\\s+'))::BIGINT AS t FROM documents) GROUP BY lang")
+def token_overflow(spark, d):
+    t = read(spark, d, "documents").select("lang", F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("t"))
+    over = (F.col("t") > 512).cast("int")
+    return t.groupBy("lang").agg(F.count("*").alias("n"), F.sum(over).alias("over_cap"), F.round(100 * F.avg(over), 6).alias("pct"), F.max("t").alias("max"))
+
+
+@query("SELECT query, min(doc_id) AS doc_id FROM (SELECT doc_id, trim(string_split(text, ',')[1]) AS query FROM documents) WHERE length(query) >= 4 GROUP BY query")
+def synthetic_queries(spark, d):
+    q = read(spark, d, "documents").select("doc_id", F.trim(F.split("text", ",")[0]).alias("query"))
+    return q.filter(F.length("query") >= 4).groupBy("query").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT b.item_id, min(p.page_id) AS first_rank, count(*) AS hits FROM benchmark b JOIN pages p ON contains(p.url, split_part(lower(b.text), ' ', 2)) GROUP BY b.item_id")
+def expected_substring_rank(spark, d):
+    b = read(spark, d, "benchmark").select("item_id", F.split_part(F.lower("text"), F.lit(" "), F.lit(2)).alias("e"))
+    p = read(spark, d, "pages").select("page_id", "url")
+    return p.join(F.broadcast(b), p["url"].contains(b["e"])).groupBy("item_id").agg(F.min("page_id").alias("first_rank"), F.count("*").alias("hits"))
+
+
+# --- churn and windows ----------------------------------------------------------------------
+S_CHURN = "c AS (SELECT '/u/' || user_id AS path, 'r' || user_id % 4 AS root, event_type AS kind, ts, event_id FROM events)"
+
+
+def churn_events(spark, d) -> DataFrame:
+    return events(spark, d).select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("root"), F.col("event_type").alias("kind"), "ts", "sec", "event_id")
+
+
+@query(f"WITH {S_CHURN} SELECT path, count(*) AS n FROM c GROUP BY path ORDER BY n DESC, path LIMIT 20")
+def churn_top_paths(spark, d):
+    return churn_events(spark, d).groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(20)
+
+
+@query(f"WITH {S_CHURN} SELECT path, root, kind, count(*) AS n, round(count(*) * 60::DOUBLE / 600, 6) AS per_min FROM c GROUP BY GROUPING SETS ((path), (root), (kind))")
+def churn_grouping_sets(spark, d):
+    return metrics.churn(churn_events(spark, d), 600)
+
+
+@query(f"WITH {S_CHURN}, w AS (SELECT event_id, root, (epoch_us(ts) // 1000000) AS t FROM c) SELECT event_id, root, count(*) OVER (PARTITION BY root ORDER BY t RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS in_window FROM w")
+def rolling_churn_window(spark, d):
+    w = Window.partitionBy("root").orderBy("t").rangeBetween(-600, 0)
+    return churn_events(spark, d).withColumnRenamed("sec", "t").select("event_id", "root", F.count("*").over(w).alias("in_window"))
+
+
+@query(f"WITH {S_CHURN}, g AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM c), s AS (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts) AS k FROM g) SELECT path, epoch_us(min(ts)) // 1000000 AS first_s, count(*) AS n FROM s GROUP BY path, k")
+def debounce_session_window(spark, d):
+    return churn_events(spark, d).groupBy("path", F.session_window("ts", "6 hours").alias("w")).agg(F.min("sec").alias("first_s"), F.count("*").alias("n")).select("path", "first_s", "n")
+
+
+@query(f"WITH {S_CHURN} SELECT root, s AS start_s, count(*) AS n FROM (SELECT root, unnest(range(((epoch_us(ts) // 1000000) // 60) * 60 - 540, ((epoch_us(ts) // 1000000) // 60) * 60 + 1, 60)) AS s FROM c) GROUP BY ALL")
+def sliding_churn(spark, d):
+    at = F.timestamp_seconds("sec").alias("at")
+    return churn_events(spark, d).select("root", at).groupBy("root", F.window("at", "600 seconds", "60 seconds").alias("w")).agg(F.count("*").alias("n")).select("root", F.unix_seconds("w.start").alias("start_s"), "n")
+
+
+@query(f"WITH {S_CHURN} SELECT root, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in ("click", "purchase", "view")) + " FROM c GROUP BY root")
+def scan_counters(spark, d):
+    kinds = ["click", "purchase", "view"]
+    return churn_events(spark, d).groupBy("root").pivot("kind", kinds).count().na.fill(0, kinds)
+
+
+@query("SELECT lang, count(*) AS files, sum(n_chars // 1800 + 1)::BIGINT AS chunks FROM documents GROUP BY lang")
+def language_breakdown(spark, d):
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.expr("n_chars div 1800 + 1")).alias("chunks"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events")
+def rfc3339_time(spark, d):
+    return events(spark, d).select("event_id", T.rfc3339(F.col("ts")).alias("at"))
+
+
+@query()
+def sample_chunks(spark, d):
+    from heliograph.sources.readers import sample_chunks as sample
+
+    return sample(pages(spark, d), 100, seed=1).select("id", "path", "qualified")
+
+
+@query()
+def ast_chunks_python(spark, d):
+    from heliograph.operators.chunker import chunks
+
+    src = read(spark, d, "documents").select(F.concat(F.lit("/src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(F.lit("def f():\n    '''"), F.regexp_replace("text", "'", ""), F.lit("'''\n    return 1\n\nclass C:\n    x = 1\n")).alias("source"))
+    return chunks(src)
+
+
+@query()
+def embed_hash(spark, d):
+    from heliograph.sources.embed import HashingProvider, embed
+
+    return read(spark, d, "documents").select("doc_id", embed(F.col("text"), HashingProvider(64)).alias("embedding"))
+
+
+@query(ORACLE_SQL["dedup_window"].replace("SELECT event_id, session, kind, fresh FROM f", "SELECT event_id, session, kind FROM f WHERE fresh"))
+def stream_dedup(spark, d):
+    from heliograph.streaming.capture import replay
+
+    s = events(spark, d).select("event_id", (F.col("user_id") % 5).cast("string").alias("session"), F.col("event_type").alias("kind"), F.col("sec").alias("ts"))
+    return replay(s).select("event_id", F.col("session").cast("long").alias("session"), "kind")
+
+
+# --- plain SQL on the star schema ------------------------------------------------------------
+@query("SELECT n_name, o_orderstatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_name), (o_orderstatus), ())")
+def grouping_sets_sales(spark, d):
+    t = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return t.groupingSets([["n_name"], ["o_orderstatus"], []], "n_name", "o_orderstatus").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_anti_orders(spark, d):
+    o = read(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return read(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_semi").join(o.filter("o_orderstatus = 'F'"), "c_custkey", "left_anti")
+
+
+@query("(SELECT l_suppkey AS k FROM lineitem INTERSECT SELECT s_suppkey FROM supplier) EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 2 = 0")
+def intersect_except(spark, d):
+    both = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).intersect(read(spark, d, "supplier").select("s_suppkey"))
+    return both.exceptAll(read(spark, d, "part").filter("p_partkey % 2 = 0").select("p_partkey"))
