@@ -73,7 +73,9 @@ def anchors_of(b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = p[begins][np.cumsum(~chain) - 1] if len(p) else p
     slot = (p - start) // (WINDOW - 3)
     keep = ~chain
+    keep[-1:] = True
     keep[1:] |= slot[1:] != slot[:-1]
+    keep[:-1] |= ~chain[1:]  # and a chain's last position, from which its end is in reach
     kept = np.sort(order[keep])
     return d[kept], (at - first)[kept], g[at][kept]
 
@@ -158,6 +160,7 @@ def matches(docs: DataFrame, shelf: Shelf) -> DataFrame:
     ordered = made.repartitionByRange(parts, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
     got = arrow_map(ordered, _neighbours, "doc long, pos int, of_doc long, of_pos int, h long, edge int")
     got = shelf.put("matches", got.withColumn("part", F.spark_partition_id()))
+    shelf.drop("anchors")
     # at most one hash at each bound: a partition's opening run of one document, against the last row of the partition before
     last = got.filter("edge = 2").groupBy("part").agg(F.max(F.struct("h", "doc", "pos", "of_doc", "of_pos")).alias("l"))
     # parts without rows are passed over: each part's last row is handed to the next part that has rows
