@@ -5,6 +5,7 @@ All are column expressions that stay in the JVM; the only Python function is the
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,6 +107,29 @@ def chunk_windows(text: Column, size: int = 1800) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
+def byte_windows(text: Column, size: int = 1800) -> Column:
+    """Windows of at most ``size`` bytes of UTF-8 that end at characters' ends. Never empty.
+
+    ASCII texts stay in the JVM; the others go through a vectorised function.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        def cut(t: str) -> list[str]:
+            raw, out, at = t.encode(), [], 0
+            while at < len(raw):
+                end = min(at + size, len(raw))
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end -= 1
+                out.append(raw[at:end].decode())
+                at = end
+            return out or [""]
+
+        return rows.map(lambda t: None if t is None else cut(t))
+
+    return F.when(F.octet_length(text) == F.length(text), chunk_windows(text, size)).otherwise(run(text))
+
+
 def slice_lines(source: Column, start: Column, end: Column) -> Column:
     """Lines start to end, from 1, both included; nonsense ranges give an empty text."""
     lines = F.split(source, r"\r?\n")
