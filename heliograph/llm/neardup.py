@@ -31,7 +31,7 @@ from heliograph.llm.graphs import components
 #: Hashes retained, and the least overlap of two full sketches at a similarity of 0.8.
 K, OVERLAP = 48, 23
 #: Documents a block; comparisons a document up to which lists are compared in blocks at once; rounds of leaders before that in any case.
-BLOCK, PAIRS_EACH, LEADERS = 64, 50, 4
+BLOCK, PAIRS_EACH, LEADERS = 64, 500, 4
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +95,13 @@ def _alike(percent: int) -> Column:
     return fits & F.when(F.size(union) < K, both * 100 >= F.size(union) * percent).otherwise(both >= OVERLAP)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
-    text = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, shelf: Shelf, key: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as edges (u, v) on the shelf.
+
+    The texts that are needed are taken out first: a round of few pairs then moves few texts.
+    """
+    need = shelf.put(f"need-{key}", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    text = shelf.put(f"texts-{key}", docs.filter("doc_id is not null and text is not null").join(need, "doc_id").select("doc_id", "text"))
     both = pairs.select("a", "b").join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -118,7 +122,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                     v.append(j)
             yield batch(schema, [u, v])
 
-    return arrow_map(both.select("a", "b", "ta", "tb"), run, "u long, v long")
+    edges = shelf.put(f"edges-{key}", arrow_map(both.select("a", "b", "ta", "tb"), run, "u long, v long"))
+    shelf.drop(f"need-{key}", f"texts-{key}")
+    return edges
 
 
 def _with_sketches(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: S
     lists = shelf.put("lists", postings(reps))
     first = lists.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = shelf.put("pairs-0", _with_sketches(first, reps, percent))
-    tried, edges = pairs, shelf.put("edges-0", _verified(pairs, docs, words, percent))
+    tried, edges = pairs, _verified(pairs, docs, words, percent, shelf, "0")
     # lists of two are done: their documents have met
     lists = lists.filter("size > 2").select("value", "rep")
     many = PAIRS_EACH * reps.count()
@@ -214,7 +220,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: S
         found = found.join(tried, ["a", "b"], "left_anti")
         pairs = shelf.put(f"pairs-{r}", found if last else _with_sketches(found, reps, percent))
         tried = tried.unionByName(pairs)
-        edges = edges.unionByName(shelf.put(f"edges-{r}", _verified(pairs, docs, words, percent)))
+        edges = edges.unionByName(_verified(pairs, docs, words, percent, shelf, str(r)))
         if last:
             root = shelf.put("root-last", components(edges, shelf, "cc-last"))
             break
