@@ -43,11 +43,12 @@ def _block(texts: list[str]) -> tuple[tk.Block, np.ndarray, np.ndarray, np.ndarr
 
 
 def _windows(starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the n-grams of words and their bounds, and the number of the word that each is in."""
-    per = np.maximum(ends - starts + 3 - n, 0)
+    """Starts of the n-grams of words with their bounds (single characters: without), and the number of the word that each is in."""
+    bound = int(n > 1)
+    per = np.maximum(ends - starts + 2 * bound + 1 - n, 0)
     word = np.repeat(np.arange(len(starts)), per)
     begin = np.cumsum(per) - per
-    return starts[word] - 1 + np.arange(len(word)) - begin[word], word
+    return starts[word] - bound + np.arange(len(word)) - begin[word], word
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
@@ -116,14 +117,14 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
     return total
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and lang_pred, score. ``und`` with score 0: null text, no letter, or nothing learned.
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` and lang_pred, score (or as named in ``out``). ``und`` with score 0: null text, no letter, or nothing learned.
 
     A text of letters none of which were seen gets the languages' uniform posterior.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("text__"))
-    schema = extended(out.drop("text__").schema, "lang_pred string, score double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("text__"))
+    schema = extended(rows.drop("text__").schema, f"`{out[0]}` string, `{out[1]}` double")
 
     def run(it):
         m = sent.value
@@ -138,12 +139,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 p /= p.sum(1, keepdims=True)
                 best = p.argmax(1)
                 for t, k, v in zip(block.texts, best, p[np.arange(len(best)), best], strict=True):
-                    any_letter = bool(t) and (t[:64].upper() != t[:64].lower() or any(map(str.isalpha, t)))
+                    any_letter = any(map(str.isalpha, t))
                     lang.append(m.langs[k] if any_letter else "und")
                     score.append(float(v) if any_letter else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *out])
 
-    return arrow_map(out, run, schema)
+    return arrow_map(rows, run, schema)
 
 
 #: Folds of the query's contract: documents in fold 2 of 4 are never learned from.
@@ -164,4 +165,4 @@ ACCEPT = 0.5
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that no learned language accounts for; adds no column."""
     model = train(docs.filter(~in_fold("doc_id", PARTS, HELD)))
-    return predict(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= ACCEPT)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return predict(docs, model, docs.columns, out=("lang__", "score__")).filter((F.col("lang__") != "und") & (F.col("score__") >= ACCEPT)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,7 +36,7 @@ def test_languages_held_out(spark):
 
 
 def odd_documents(spark):
-    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", "de"), (5, "123 ... !!", "en"), (6, "漢字", None), (None, "the dog", "en"), (8, "the " * 50_000, "en"), (1, "the cat and the dog", "en")]
+    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", "de"), (5, "123 ... !!", "en"), (6, "漢字", None), (None, "the dog", "en"), (8, "the " * 50_000, None), (1, "the cat and the dog", "en")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("clash"), "lang_pred": F.lit(1)})
 
 
@@ -71,15 +71,18 @@ def test_scores_without_labels_and_odd_texts(spark, module, column):
     model = module.train(docs, none, *extra)
     assert model is None
     assert module.score(docs, None, ["doc_id"], *extra).count() == docs.count()
-    clean = spark.createDataFrame([(i, f"a quiet day number {i} with rain and tea") for i in range(40)] + [(100 + i, f"you fool fool {i} fool !!!! @@@@ ####") for i in range(40)], "doc_id long, text string")
+    rng = np.random.default_rng(4)
+    prose = lambda: [f"word{k}" for k in rng.integers(0, 2000, 40)]
+    rude = lambda: " ".join([*prose(), *rng.choice(["fool", "oaf", "dolt", "twit"], 6), "@@@@", "####", "!!!!"])
+    clean = spark.createDataFrame([(i, " ".join(prose())) for i in range(100)] + [(100 + i, rude()) for i in range(100)], "doc_id long, text string")
     labels = clean.select("doc_id", (F.col("doc_id") >= 100).cast("int").alias("toxic"), (F.col("doc_id") < 100).cast("int").alias("quality"))
     labels = labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None), (5, 0, 1)], labels.schema))
     model = module.train(clean, labels, *extra)
     got = {r["doc_id"]: r["score"] for r in module.score(clean.unionByName(docs.select("doc_id", "text")), model, ["doc_id"], *extra).collect()}
     assert all(0 <= s <= 1 for s in got.values())
     want = 1 if module is toxicity else 0
-    assert np.mean([(got[100 + i] >= 0.7) == want for i in range(40)]) > 0.9
-    assert np.mean([(got[i + 10] >= 0.7) == (1 - want) for i in range(30)]) > 0.9
+    assert np.mean([(got[100 + i] >= 0.7) == want for i in range(100)]) > 0.9
+    assert np.mean([(got[i + 10] >= 0.7) == (1 - want) for i in range(90)]) > 0.9
 
 
 def test_label_model_finds_accuracies_and_correlations():
