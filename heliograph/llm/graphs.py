@@ -22,7 +22,7 @@ def components(edges: DataFrame, shelf: Shelf, name: str = "cc") -> DataFrame:
     sums and a join that the engine can split, so a node with very many neighbours is no
     hot spot. Rounds grow with the logarithm of the longest path.
     """
-    now = shelf.put(f"{name}-0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = shelf.put_compact(f"{name}-0", edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     r = 0
     while not _stars(now):
         r += 1
@@ -31,6 +31,6 @@ def components(edges: DataFrame, shelf: Shelf, name: str = "cc") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = shelf.put(f"{name}-{r}", handed.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = shelf.put_compact(f"{name}-{r}", handed.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         shelf.drop(f"{name}-{r - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -76,13 +76,13 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(value, rep, leader, size): each document under the runs of its retained hashes that another document has too, with the list's smallest document and its length."""
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("sketch") - (n - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(n)]))
-    none = F.array().cast("array<bigint>")
+    """(value, start, rep, leader, size): each document under the runs of its retained hashes that another document has too, with the list's smallest document and its length."""
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("sketch") - (n - 1)), lambda i: F.struct(F.xxhash64(*[F.element_at("sketch", i + j) for j in range(n)]).alias("value"), F.element_at("sketch", i).alias("start")))
+    none = F.array().cast("array<struct<value:bigint,start:bigint>>")
     three = F.when(F.size("sketch") > 2, run(3)).otherwise(none)
     # a set of one shingle is linked with equal sets only, which are one class already
     two = F.when((F.size("sketch") > 1) & (F.col("n") <= 5), run(2)).otherwise(none)
-    keys = reps.select("rep", F.explode(F.array_distinct(F.concat(three, two))).alias("value"))
+    keys = reps.select("rep", F.explode(F.concat(three, two)).alias("k")).select("rep", "k.value", "k.start")
     lists = keys.groupBy("value").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     return keys.join(lists, "value")
 
@@ -122,7 +122,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, shelf
                     v.append(j)
             yield batch(schema, [u, v])
 
-    edges = shelf.put(f"edges-{key}", arrow_map(both.select("a", "b", "ta", "tb"), run, "u long, v long"))
+    edges = shelf.put_compact(f"edges-{key}", arrow_map(both.select("a", "b", "ta", "tb"), run, "u long, v long"))
     shelf.drop(f"need-{key}", f"texts-{key}")
     return edges
 
@@ -133,12 +133,21 @@ def _with_sketches(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(_alike(percent)).select("a", "b")
 
 
+def _first_run(s: np.ndarray, t: np.ndarray) -> int | None:
+    """The first hash of the first run of three that two sketches share; of two, if they share no three."""
+    for n in (3, 2):
+        runs = [{tuple(x[i : i + n].tolist()) for i in range(len(x) - n + 1)} for x in (s, t)]
+        if both := runs[0] & runs[1]:
+            return min(both)[0]
+    return None
+
+
 def _in_blocks(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in lists (value, rep, root, major, strays, majors), from blocks of fixed size.
+    """Pairs of different components in lists (value, start, rep, root, major, strays, majors), from blocks of fixed size.
 
     ``major`` marks the documents of the list's largest part, which are connected. The others are
     dealt into blocks by a hash; each of these meets each other one and each block of the major
-    part in one group, whose pairs are judged by their sketches before they leave it.
+    part in one group, whose pairs are judged by their sketches before they leave it, each in the first list that both are in.
     """
     ceil = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     dealt = lists.join(reps.select("rep", "n", "sketch"), "rep").withColumns({"bs": ceil("strays"), "bm": ceil("majors")})
@@ -148,14 +157,14 @@ def _in_blocks(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     own = F.col("own")
     with_strays = F.transform(up_to("bs"), lambda i: F.when(F.col("major"), key(1, i, own)).otherwise(key(0, F.least(i, own), F.greatest(i, own))))
     with_major = F.when(~F.col("major"), F.transform(up_to("bm"), lambda j: key(1, own, j))).otherwise(F.slice(with_strays, 1, 0))
-    meets = dealt.select("value", "rep", "root", "n", "sketch", "major", "own", F.explode(F.concat(with_strays, with_major)).alias("g"))
-    group = meets.groupBy("value", "g").agg(F.collect_list(F.struct("rep", "root", "n", "sketch", F.when(F.col("g.kind") == 1, F.col("major").cast("int")).otherwise(F.col("own")).alias("side"))).alias("m"))
+    meets = dealt.select("value", "start", "rep", "root", "n", "sketch", "major", "own", F.explode(F.concat(with_strays, with_major)).alias("g"))
+    group = meets.groupBy("value", "start", "g").agg(F.collect_list(F.struct("rep", "root", "n", "sketch", F.when(F.col("g.kind") == 1, F.col("major").cast("int")).otherwise(F.col("own")).alias("side"))).alias("m"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it):
         for k in it:
             out = set()
-            for kind, x, y, m in zip(*(c.to_pylist() for c in k.columns), strict=True):
+            for start, kind, x, y, m in zip(*(c.to_pylist() for c in k.columns), strict=True):
                 rep, root, n, side = (np.array([r[f] for r in m]) for f in ("rep", "root", "n", "side"))
                 sketch = [np.array(r["sketch"]) for r in m]
                 values, at = np.unique(np.concatenate(sketch), return_inverse=True)
@@ -168,11 +177,11 @@ def _in_blocks(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 for i, j in zip(*np.nonzero(may), strict=True):
                     union = np.union1d(sketch[i], sketch[j])[:K]
                     common = len(np.intersect1d(np.intersect1d(sketch[i], sketch[j], True), union, True))
-                    if common * 100 >= percent * len(union) if len(union) < K else common >= OVERLAP:
+                    if (common * 100 >= percent * len(union) if len(union) < K else common >= OVERLAP) and start == _first_run(sketch[i], sketch[j]):
                         out.add((int(rep[i]), int(rep[j])))
             yield batch(schema, [list(c) for c in zip(*sorted(out))] if out else [[], []])
 
-    return arrow_map(group.select("g.kind", "g.x", "g.y", "m"), run, "a long, b long").distinct()
+    return arrow_map(group.select("start", "g.kind", "g.x", "g.y", "m"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: Shelf | None = None) -> DataFrame:
@@ -195,16 +204,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: S
     reps = shelf.put("reps", reps)
     lists = shelf.put("lists", postings(reps))
     first = lists.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = shelf.put("pairs-0", _with_sketches(first, reps, percent))
+    pairs = shelf.put_compact("pairs-0", _with_sketches(first, reps, percent))
     tried, edges = pairs, _verified(pairs, docs, words, percent, shelf, "0")
     # lists of two are done: their documents have met
-    lists = lists.filter("size > 2").select("value", "rep")
+    lists = lists.filter("size > 2").select("value", "start", "rep")
     many = PAIRS_EACH * reps.count()
     r = 0
     while True:
         root = shelf.put(f"root-{r}", components(edges, shelf, f"cc-{r}"))
         r += 1
-        placed = lists.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", F.coalesce("root", "rep").alias("root"))
+        placed = lists.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("value", "start", "rep", F.coalesce("root", "rep").alias("root"))
         parts = placed.groupBy("value").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep", "root")).alias("l")).filter("main <> last")
         open_ = placed.join(parts.select("value", "main", F.col("l.rep").alias("leader"), F.col("l.root").alias("leader_root")), "value").withColumn("major", F.col("root") == F.col("main"))
         open_ = shelf.put(f"open-{r}", open_)
@@ -214,11 +223,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, shelf: S
             break
         last = work <= many or r > LEADERS
         if last:
-            found = _in_blocks(open_.select("value", "rep", "root", "major").join(sizes, "value"), reps, percent)
+            found = _in_blocks(open_.select("value", "start", "rep", "root", "major").join(sizes, "value"), reps, percent)
         else:
             found = open_.filter("rep <> leader and root <> leader_root").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
         found = found.join(tried, ["a", "b"], "left_anti")
-        pairs = shelf.put(f"pairs-{r}", found if last else _with_sketches(found, reps, percent))
+        pairs = shelf.put_compact(f"pairs-{r}", found if last else _with_sketches(found, reps, percent))
         tried = tried.unionByName(pairs)
         edges = edges.unionByName(_verified(pairs, docs, words, percent, shelf, str(r)))
         if last:
