@@ -4,13 +4,13 @@ Of a text's suffixes (one from each word) only those at minimisers stay: positio
 of the next ``GRAM`` words is the least of ``WINDOW`` neighbours. Content alone selects them, so
 equal passages keep equal suffixes: any passage of ``MIN_WORDS`` = GRAM + WINDOW - 1 words has one.
 The suffixes are sorted across the cluster by (hash of their first GRAM words, document,
-position); a neighbour that shares the hash is a match of GRAM words in an earlier document.
-Overlapping matches of a document are joined, then extended word by word to the left and to
-the right, comparing with the earlier document's text. Passages of MIN_WORDS or more are reported.
+position); neighbours that share the hash are in documents that share GRAM words. Around such a
+hash all stretches of MIN_WORDS words are hashed and sorted in the same way: a neighbour of the
+same hash is a match of MIN_WORDS words in an earlier document, whatever part of the passage other
+documents quote. Overlapping matches of a document are joined.
 
-Guarantee: every word of a document that is in a passage of MIN_WORDS words or more which an
-earlier document (smaller id) has too is covered, up to the few words at an end where several
-earlier documents differ; whatever is reported consists of matches of GRAM words or more.
+Guarantee: exactly the words of a document are covered that are in a passage of MIN_WORDS words or
+more which an earlier document (smaller id) has too.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from heliograph.llm.common import Shelf, arrow_map, batch, table
 
 GRAM, WINDOW = 32, 19
 MIN_WORDS = GRAM + WINDOW - 1
-#: Words compared on each side of a match; a repeated passage's first kept suffix is at most WINDOW - 1 words from its start.
+#: A repeated passage's first kept suffix is at most WINDOW - 1 words from its start.
 REACH = WINDOW + 1
 
 
@@ -39,6 +39,15 @@ def _sliding(x: np.ndarray, size: int, of) -> np.ndarray:
     return x
 
 
+def _grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` words each, from the words' hashes."""
+    n = len(h) - size + 1
+    power, inverse = tk.TABLES.powers(len(h))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, tk.U), np.cumsum(h * power[: len(h)])])
+        return tk.mix((total[size:] - total[:-size]) * inverse[:n] + tk.U(size))
+
+
 def anchors_of(b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word position, hash of the next GRAM words) of each suffix that stays."""
     s, e, doc = b.words()
@@ -47,10 +56,7 @@ def anchors_of(b: tk.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none.view(tk.U)
-    power, inverse = tk.TABLES.powers(len(h))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, tk.U), np.cumsum(h * power[: len(h)])])
-        g = tk.mix((total[GRAM:] - total[:-GRAM]) * inverse[:n] + tk.U(GRAM))
+    g = _grams(h, GRAM)
     inside = doc[:n] == doc[GRAM - 1 :]
     top = np.iinfo(np.uint64).max
     # windows must not reach into the next text: each text is followed by grams that are outside, which are set to the top
@@ -152,15 +158,13 @@ def _neighbours(it):
         yield batch(MATCH, [[before[1]], [before[2]], [other[1] if other else before[1]], [other[2] if other else before[2]], [before[0]], [2]])
 
 
-def matches(docs: DataFrame, shelf: Shelf) -> DataFrame:
-    """(doc, pos, of_doc, of_pos): kept suffixes whose first GRAM words an earlier document has."""
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    made = shelf.put("anchors", arrow_map(rows, _anchors, "h long, doc long, pos int"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def matched(made: DataFrame, shelf: Shelf, name: str) -> DataFrame:
+    """(doc, pos, of_doc, of_pos, h): the rows (h, doc, pos) of ``name`` on the shelf, which is dropped, whose hash an earlier document has."""
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = made.repartitionByRange(parts, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
     got = arrow_map(ordered, _neighbours, "doc long, pos int, of_doc long, of_pos int, h long, edge int")
-    got = shelf.put("matches", got.withColumn("part", F.spark_partition_id()))
-    shelf.drop("anchors")
+    got = shelf.put(f"{name}-matches", got.withColumn("part", F.spark_partition_id()))
+    shelf.drop(name)
     # at most one hash at each bound: a partition's opening run of one document, against the last row of the partition before
     last = got.filter("edge = 2").groupBy("part").agg(F.max(F.struct("h", "doc", "pos", "of_doc", "of_pos")).alias("l"))
     # parts without rows are passed over: each part's last row is handed to the next part that has rows
@@ -169,94 +173,78 @@ def matches(docs: DataFrame, shelf: Shelf) -> DataFrame:
     for k in range(1, len(order)):
         h, doc, pos, of_doc, of_pos = order[k - 1][1]
         nexts.append((order[k][0], h, doc, pos, of_doc, of_pos))
-    inner = got.filter("edge = 0").select("doc", "pos", "of_doc", "of_pos")
+    inner = got.filter("edge = 0").select("doc", "pos", "of_doc", "of_pos", "h")
     if not nexts:
         return inner
-    bounds = docs.sparkSession.createDataFrame(nexts, "part int, h long, bdoc long, bpos int, bof_doc long, bof_pos int")
+    bounds = made.sparkSession.createDataFrame(nexts, "part int, h long, bdoc long, bpos int, bof_doc long, bof_pos int")
     own = got.filter("edge = 1").join(F.broadcast(bounds), ["part", "h"])
-    fits = own.select("doc", "pos", F.when(F.col("bdoc") != F.col("doc"), F.struct(F.col("bdoc").alias("d"), F.col("bpos").alias("p"))).when(F.col("bof_doc") != F.col("doc"), F.struct(F.col("bof_doc").alias("d"), F.col("bof_pos").alias("p"))).alias("o")).filter("o is not null")
-    return inner.unionByName(fits.select("doc", "pos", F.col("o.d").alias("of_doc"), F.col("o.p").alias("of_pos")))
+    fits = own.select("doc", "pos", "h", F.when(F.col("bdoc") != F.col("doc"), F.struct(F.col("bdoc").alias("d"), F.col("bpos").alias("p"))).when(F.col("bof_doc") != F.col("doc"), F.struct(F.col("bof_doc").alias("d"), F.col("bof_pos").alias("p"))).alias("o")).filter("o is not null")
+    return inner.unionByName(fits.select("doc", "pos", F.col("o.d").alias("of_doc"), F.col("o.p").alias("of_pos"), "h"))
 
 
-PASSAGE = "doc long, first int, last int, from_doc long, from_pos int, to_doc long, to_pos int"
-
-
-def _joined(it):
-    """Overlapping matches of a document as one passage [first, last), with the earlier places of its first and last match."""
-    schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("from_doc", pa.int64()), ("from_pos", pa.int32()), ("to_doc", pa.int64()), ("to_pos", pa.int32())])
-    for b in it:
-        out = []
-        for doc, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            now = None
-            for r in sorted((r["pos"], r["of_doc"], r["of_pos"]) for r in rows):
-                if now and r[0] <= now[2]:
-                    if r[0] + GRAM >= now[2]:
-                        now[2], now[5], now[6] = r[0] + GRAM, r[1], r[2] + GRAM
-                else:
-                    now = [doc, r[0], r[0] + GRAM, r[1], r[2], r[1], r[2] + GRAM]
-                    out.append(now)
-        yield batch(schema, [list(c) for c in zip(*out)] if out else [[] for _ in schema])
-
-
-def _contexts(it):
-    """The words before or from each requested position."""
-    schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("side", pa.int32()), ("words", pa.list_(pa.string()))])
+def _stretches(it):
+    """The hashes of all stretches of MIN_WORDS words that hold GRAM words with a hash that is asked for."""
     for b in it:
         out = []
-        for text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             k = tk.Block([text])
             s, e, _ = k.words()
-            for r in asks:
-                lo, hi = (max(0, r["at"] - REACH), r["at"]) if r["side"] < 2 else (r["at"], r["at"] + REACH)
-                out.append((r["doc"], r["first"], r["side"], [text[x:y] for x, y in zip(s[lo:hi], e[lo:hi], strict=True)]))
-        yield batch(schema, [list(c) for c in zip(*out)] if out else [[] for _ in schema])
+            if len(s) < MIN_WORDS:
+                continue
+            h = k.hashes(s, e)
+            hit = np.isin(tk.signed(_grams(h, GRAM)), asked.values.to_numpy())
+            # a stretch from word i holds the grams from i to i + WINDOW - 1
+            held = np.concatenate([[0], np.cumsum(hit)])
+            at = np.flatnonzero(held[WINDOW:] > held[:-WINDOW])
+            out.append((tk.signed(_grams(h, MIN_WORDS))[at], np.full(len(at), doc, np.int64), at.astype(np.int32)))
+        yield batch(ANCHOR, [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []])
 
 
-def _extended(it):
-    schema = pa.schema([("doc", pa.int64()), ("first", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
+def matches(docs: DataFrame, shelf: Shelf) -> DataFrame:
+    """(doc, pos, of_doc, of_pos): all stretches of MIN_WORDS words that an earlier document has."""
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    found = matched(shelf.put("anchors", arrow_map(rows, _anchors, "h long, doc long, pos int")), shelf, "anchors")
+    # each document of a shared hash has a predecessor or is one
+    asked = found.select(F.explode(F.array("doc", "of_doc")).alias("need"), "h").groupBy("need").agg(F.collect_set("h").alias("asked"))
+    texts = rows.join(asked, F.col("doc_id") == F.col("need")).select("doc_id", "text", "asked")
+    made = shelf.put("stretches", arrow_map(texts, _stretches, "h long, doc long, pos int"))
+    shelf.drop("anchors-matches")
+    return matched(made, shelf, "stretches").drop("h")
+
 
-    def same(x, y) -> int:
-        n = 0
-        for p, q in zip(x, y, strict=False):
-            if p != q:
-                break
-            n += 1
-        return n
+PASSAGE = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("of_doc_id", pa.int64()), ("of_start_word", pa.int32())])
 
+
+def _joined(it):
+    """Overlapping matches of a document as one passage, with the earlier place of its first match."""
     for b in it:
-        doc, first, sides = b.columns
-        left, right = [], []
-        for rows in sides.to_pylist():
-            w = {r["side"]: r["words"] for r in rows}
-            left.append(same(w.get(0, [])[::-1], w.get(1, [])[::-1]))
-            right.append(same(w.get(2, []), w.get(3, [])))
-        yield batch(schema, [doc, first, left, right])
+        m = b.column(1)
+        rows = m.flatten()
+        pos, of_doc, of_pos = (c.to_numpy() for c in rows.flatten())
+        own = np.repeat(np.arange(b.num_rows), m.value_lengths().to_numpy())
+        order = np.lexsort((pos, own))
+        pos, of_doc, of_pos, own = pos[order], of_doc[order], of_pos[order], own[order]
+        new = np.ones(len(pos), bool)
+        new[1:] = (own[1:] != own[:-1]) | (pos[1:] > pos[:-1] + MIN_WORDS)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(pos))[: len(first)] - 1
+        yield batch(PASSAGE, [b.column(0).to_numpy()[own[first]], pos[first], pos[last] + np.int32(MIN_WORDS), of_doc[first], of_pos[first]])
 
 
 def repeated_passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, of_doc_id, of_start_word): passages that an earlier document has.
 
     Words are runs without white space, compared exactly; words are counted from 0 and end_word
-    is not included. The document with the smallest id keeps a passage and is named in
-    of_doc_id; its place there is that of the passage's beginning. Repeats within one document
+    is not included. The document with the smallest id keeps a passage; of_doc_id is
+    an earlier one that has its first MIN_WORDS words, of_start_word their place there. Repeats within one document
     alone don't count. Null ids or texts, and texts shorter than MIN_WORDS words, have no
     passages; rows with the same id count as one document. Other columns are ignored.
     """
     shelf = shelf or Shelf(docs.sparkSession, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = matches(docs, shelf).groupBy("doc").agg(F.collect_list(F.struct("pos", "of_doc", "of_pos")).alias("m"))
-    joined = shelf.put("joined", arrow_map(found, _joined, PASSAGE))
-    ask = lambda need, at, side: F.struct(F.col(need).alias("need"), F.col(at).alias("at"), F.lit(side).alias("side"))
-    asked = joined.select("doc", "first", F.explode(F.array(ask("doc", "first", 0), ask("from_doc", "from_pos", 1), ask("doc", "last", 2), ask("to_doc", "to_pos", 3))).alias("a")).filter("a.side > 1 or a.at > 0")
-    asked = asked.groupBy(F.col("a.need").alias("need")).agg(F.collect_list(F.struct("doc", "first", "a.side", "a.at")).alias("asks"))
-    texts = docs.filter("doc_id is not null and text is not null").join(asked, F.col("doc_id") == F.col("need")).select("text", "asks")
-    context = arrow_map(texts, _contexts, "doc long, first int, side int, words array<string>")
-    sides = context.groupBy("doc", "first").agg(F.collect_list(F.struct("side", "words")).alias("sides"))
-    grown = arrow_map(sides, _extended, "doc long, first int, left int, right int")
-    full = joined.join(grown, ["doc", "first"], "left")
-    start, end = F.col("first") - F.coalesce("left", F.lit(0)), F.col("last") + F.coalesce("right", F.lit(0))
-    out = full.select(F.col("doc").alias("doc_id"), start.alias("start_word"), end.alias("end_word"), (end - start).alias("n_words"), F.col("from_doc").alias("of_doc_id"), (F.col("from_pos") - F.coalesce("left", F.lit(0))).alias("of_start_word"))
-    return out.filter(F.col("n_words") >= MIN_WORDS)
+    joined = arrow_map(found, _joined, "doc_id long, start_word int, end_word int, of_doc_id long, of_start_word int")
+    return joined.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "of_doc_id", "of_start_word")
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
