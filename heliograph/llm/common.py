@@ -93,10 +93,6 @@ class Shelf:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def put_compact(self, key: str, df: DataFrame) -> DataFrame:
-        """``put`` for tables of a few numbers a row: a sixteenth of the usual number of files, so that small ones are seen to be small."""
-        return self.put(key, df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16)))
-
     def drop(self, *keys: str) -> None:
         remove(self.spark, *(self.paths.pop(k) for k in keys if k in self.paths))
 
@@ -133,6 +129,14 @@ def extended(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T._parse_datatype_string(ddl).fields])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of the table has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

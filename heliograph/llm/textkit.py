@@ -15,7 +15,7 @@ import numpy as np
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
