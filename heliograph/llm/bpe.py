@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import arrow_map, batch, extended, table
+from heliograph.llm.common import arrow_map, batch, extended, table, unused
 
 #: The published pattern of byte-level BPE pretokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,6 +200,12 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids and n_tokens; a document whose decoded ids aren't its text would go (none does)."""
-    out = encode_column(docs, decoded_col="decoded__")
-    return out.filter(F.col("decoded__") == F.coalesce("text", F.lit(""))).drop("decoded__").withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """Adds token_ids and n_tokens, in the place of columns that were named so. All rows stay; null and empty texts have no ids.
+
+    The decoded ids are compared with each text: a difference is an error of the encoder and fails the job.
+    """
+    decoded = unused(docs, "decoded")
+    out = encode_column(docs, decoded_col=decoded)
+    same = F.col(f"`{decoded}`") == F.coalesce("text", F.lit(""))
+    checked = F.when(same, F.col("token_ids")).otherwise(F.raise_error(F.lit("a text isn't what its ids decode to")).cast("array<int>"))
+    return out.withColumn("token_ids", checked).drop(decoded).withColumn("n_tokens", F.size("token_ids").cast("long"))

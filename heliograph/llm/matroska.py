@@ -23,6 +23,8 @@ from heliograph.llm.common import arrow_map, batch, table
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, TRACK, CUES, CUE, CUE_TRACKS, CLUSTER, GROUP = (0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0xAE, 0x1C53BB6B, 0xBB, 0xB7, 0x1F43B675, 0xA0)
 TIMESTAMP, SIMPLE_BLOCK, BLOCK, SCALE, DURATION, CUE_TIME, CUE_TRACK, CUE_POSITION = 0xE7, 0xA3, 0xA1, 0x2AD7B1, 0x4489, 0xB3, 0xF7, 0xF1
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, RATE, CHANNELS, DEPTH, LACING_FLAG = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x9C
+#: The levels of the elements that hold others or begin a part of the file (tags, chapters and attachments last).
+LEVELS = {EBML: 0, SEGMENT: 0, SEEK_HEAD: 1, INFO: 1, TRACKS: 1, CUES: 1, CLUSTER: 1, TRACK: 2, CUE: 2, GROUP: 2, CUE_TRACKS: 3, AUDIO: 3, 0x1254C367: 1, 0x1043A770: 1, 0x1941A469: 1}
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, CUES, CUE, CUE_TRACKS, CLUSTER, GROUP, AUDIO}
 HERTZ, FRAME, LACED, PER_CLUSTER = 8_000, 512, 8, 16
 
@@ -95,12 +97,13 @@ def mux(payload: bytes) -> bytes:
     return head + element(SEGMENT, b"".join([info, tracks, *clusters, element(CUES, b"".join(cues))]))
 
 
-def _number(data, at: int, keep_marker: bool = False) -> tuple[int, int]:
-    """A variable-length number: its value (-1: unknown size) and its width."""
-    first = data[at]
-    if not first:
-        raise ValueError(f"no length marker at byte {at}")
-    width = 9 - first.bit_length()
+def _number(data, at: int, end: int, keep_marker: bool = False) -> tuple[int, int] | None:
+    """A variable-length number: its value (-1: unknown size) and its width. None where there is none before ``end``."""
+    if at >= end or not data[at]:
+        return None
+    width = 9 - data[at].bit_length()
+    if at + width > end:
+        return None
     value = int.from_bytes(data[at : at + width], "big")
     if keep_marker:
         return value, width
@@ -108,55 +111,80 @@ def _number(data, at: int, keep_marker: bool = False) -> tuple[int, int]:
     return (-1 if value == (1 << 7 * width) - 1 else value), width
 
 
-def elements(data, at: int, end: int, depth: int = 0) -> Iterator[tuple[int, int, int, int]]:
-    """(id, start, data start, end) of each element, masters before what they hold; a cut file ends early."""
-    while at < end:
-        i, w = _number(data, at, True)
-        n, v = _number(data, at + w)
-        begin = at + w + v
-        stop = end if n < 0 else min(end, begin + n)
-        yield i, at, begin, stop
-        if i in MASTERS:
-            yield from elements(data, begin, stop, depth + 1)
-        at = stop
+def elements(data, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(id, start, data start, end) of each element, masters before what they hold.
 
-
-def _sizes(data, at: int, end: int, lacing: int) -> tuple[list[int], int]:
-    """The sizes of a block's frames and where the first one begins. lacing: 0 none, 1 Xiph, 2 fixed, 3 EBML."""
+    A master of unknown size ends where an element of its own or a higher level begins. What
+    can't be read, as in a damaged file, is passed over to the end of the master that holds it; a cut
+    file ends early. No input raises an error.
+    """
+    inside = [(end, -1, False)]
+    while inside:
+        stop, level, unknown = inside[-1]
+        if at >= stop:
+            inside.pop()
+            continue
+        name = _number(data, at, stop, True)
+        size = _number(data, at + name[1], stop) if name else None
+        if size is None or (size[0] < 0 and name[0] not in MASTERS):
+            at = stop
+            continue
+        if unknown and LEVELS.get(name[0], 9) <= level:
+            inside.pop()
+            continue
+        begin = at + name[1] + size[1]
+        last = stop if size[0] < 0 else min(stop, begin + size[0])
+        yield name[0], at, begin, last
+        at = last
+        if name[0] in MASTERS:
+            inside.append((last, LEVELS[name[0]], size[0] < 0))
+            at = begin
+
+
+def _sizes(data, at: int, end: int, lacing: int) -> tuple[list[int], int] | None:
+    """The sizes of a block's frames and where the first one begins. lacing: 0 none, 1 Xiph, 2 fixed, 3 EBML. None if they don't fit."""
     if not lacing:
         return [end - at], at
+    if at >= end:
+        return None
     n, at = data[at] + 1, at + 1
     if lacing == 2:
-        return [(end - at) // n] * n, at
-    sizes = []
+        return ([(end - at) // n] * n, at) if (end - at) % n == 0 else None
+    sizes: list[int] = []
     for k in range(n - 1):
         if lacing == 1:
-            size = 0
-            while True:
-                size, at = size + data[at], at + 1
-                if data[at - 1] < 255:
-                    break
+            size, more = 0, 255
+            while more == 255:
+                if at >= end:
+                    return None
+                size, more, at = size + data[at], data[at], at + 1
         else:
-            v, w = _number(data, at)
-            at += w
+            found = _number(data, at, end)
+            if found is None:
+                return None
+            v, w = found
+            # in a difference all ones are a number
+            v, at = (1 << 7 * w) - 1 if v < 0 else v, at + w
             size = v if not k else sizes[-1] + v - ((1 << 7 * w - 1) - 1)
         sizes.append(size)
-    return [*sizes, end - at - sum(sizes)], at
+    sizes.append(end - at - sum(sizes))
+    return (sizes, at) if min(sizes) >= 0 else None
 
 
 def demux(data: bytes) -> Media:
+    """What can be read of a file; blocks whose frames don't fit are left out."""
     scale, duration, codec, cues, packets = 1_000_000, 0.0, {}, [], []
     track, cluster_time, cluster, cue = 0, 0, -1, [0, 0, 0]
-    uint = lambda a, b: int.from_bytes(data[a:b], "big")
+    uint = lambda a, b: int.from_bytes(data[a : min(b, a + 8)], "big")
     for i, at, a, b in elements(data, 0, len(data)):
         if i == SCALE:
             scale = uint(a, b)
         elif i == DURATION:
-            duration = struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
+            duration = struct.unpack({8: ">d", 4: ">f"}[b - a], data[a:b])[0] if b - a in (4, 8) else 0.0
         elif i == TRACK_NUMBER:
             track = uint(a, b)
         elif i == CODEC:
-            codec[track] = bytes(data[a:b]).decode()
+            codec[track] = bytes(data[a:b]).decode("utf-8", "replace")
         elif i == CLUSTER:
             cluster, cluster_time = at, 0
         elif i == TIMESTAMP:
@@ -168,12 +196,18 @@ def demux(data: bytes) -> Media:
         elif i == CUE_POSITION:
             cues.append((cue[0], cue[1], uint(a, b)))
         elif i in (SIMPLE_BLOCK, BLOCK):
-            number, w = _number(data, a)
-            ahead, flags = struct.unpack(">hB", data[a + w : a + w + 3])
+            number = _number(data, a, b)
+            head = a + number[1] if number else b
+            if number is None or number[0] < 0 or head + 3 > b:
+                continue
+            ahead, flags = struct.unpack(">hB", data[head : head + 3])
             lacing = (flags >> 1) & 3
-            sizes, start = _sizes(data, a + w + 3, b, lacing)
+            found = _sizes(data, head + 3, b, lacing)
+            if found is None:
+                continue
+            sizes, start = found
             for size in sizes:
-                packets.append(Packet(number, cluster_time + ahead, start, size, bool(flags & 0x80), lacing, cluster))
+                packets.append(Packet(number[0], cluster_time + ahead, start, size, bool(flags & 0x80), lacing, cluster))
                 start += size
     return Media(scale, duration, codec, cues, packets)
 
@@ -186,7 +220,11 @@ PACKETS = pa.schema([("id", pa.int64()), ("packet", pa.int32()), ("track", pa.in
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """A row per frame of each Matroska file in a binary column; null or empty files have no rows."""
+    """A row per frame of each Matroska file in a binary column; null or empty files have no rows.
+
+    Of a damaged or cut file come the frames that can still be read; it never fails the job. Repeated
+    rows give repeated packets, null ids stay null, other columns are ignored.
+    """
 
     def run(it):
         for b in it:
@@ -195,7 +233,7 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 if data:
                     m = demux(data)
                     cued = {t for t, _, _ in m.cues}
-                    rows += [(i, k, p.track, p.timestamp * m.scale / 1e6, p.offset, p.size, p.key, p.lacing, p.cluster, p.timestamp in cued) for k, p in enumerate(m.packets)]
+                    rows += [(i, k, p.track, float(p.timestamp) * m.scale / 1e6, p.offset, p.size, p.key, p.lacing, p.cluster, p.timestamp in cued) for k, p in enumerate(m.packets)]
             yield batch(PACKETS, [list(c) for c in zip(*rows)] if rows else [[] for _ in PACKETS])
 
     return arrow_map(df.select(df[id_col].cast("long"), media_col), run, "id long, packet int, track int, timestamp_ms double, byte_offset long, byte_size long, keyframe boolean, lacing int, cluster_offset long, cued boolean")

@@ -61,7 +61,7 @@ def test_matroska_round_trip(n):
 
 def test_vints_and_lacings():
     for n in (0, 1, 126, 127, 128, 16382, 16383, 2**21, 2**40):
-        value, width = M._number(M.vint(n), 0)
+        value, width = M._number(M.vint(n), 0, 9)
         assert (value, width) == (n, len(M.vint(n)))
     frames = [b"a" * 300, b"b" * 5, b"c" * 700, b"d" * 9]
     xiph = bytes([3, 255, 45, 5, 255, 255, 190]) + b"".join(frames)
@@ -80,6 +80,32 @@ def test_unknown_sizes_and_block_groups():
     assert (p.timestamp, data[p.offset : p.offset + p.size]) == (45, b"data")
 
 
+def test_damaged_files_raise_nothing():
+    import random
+
+    rng, data = random.Random(2), M.mux(bytes(i * 31 % 256 for i in range(20_000)))
+    whole = M.demux(data).packets
+    for n in range(0, len(data), 7):
+        assert M.demux(data[:n]).packets[:-8] == whole[: len(M.demux(data[:n]).packets)][:-8]
+    for _ in range(3_000):
+        b = bytearray(data[: rng.randint(0, 3_000)])
+        for _ in range(rng.randint(1, 20)):
+            if b:
+                b[rng.randrange(len(b))] = rng.choice([0, 1, 0x7F, 0x80, 0xA1, 0xA3, 0xE7, 0xFF])
+        for p in M.demux(bytes(b)).packets:
+            assert 0 <= p.offset <= p.offset + p.size <= len(b)
+    for _ in range(2_000):
+        M.demux(bytes(rng.randrange(256) for _ in range(rng.randint(0, 80))))
+
+
+def test_masters_of_unknown_size_end_at_their_siblings():
+    unknown = b"\x01" + b"\xff" * 7
+    cluster = lambda t: M._id(M.CLUSTER) + unknown + M._uint(M.TIMESTAMP, t) + M.element(M.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0) + b"x" * 3)
+    data = M.element(M.EBML, b"") + M._id(M.SEGMENT) + unknown + b"".join(cluster(t) for t in range(3_000)) + M.element(M.CUES, b"")
+    media = M.demux(data)
+    assert [p.timestamp for p in media.packets] == list(range(3_000)) and len({p.cluster for p in media.packets}) == 3_000
+
+
 def test_media_features(spark, docs):
     got = {(r["doc_id"], r["payload_sha256"]): r for r in M.media_features(docs).collect()}
     assert M.media_features(docs).count() == len(ROWS)
@@ -93,6 +119,6 @@ def test_media_features(spark, docs):
 
 
 def test_packet_table(spark):
-    df = spark.createDataFrame([(1, bytearray(M.mux(b"x" * 1024))), (2, None), (3, bytearray(b""))], "id long, media binary")
+    df = spark.createDataFrame([(1, bytearray(M.mux(b"x" * 1024))), (2, None), (3, bytearray(b"")), (4, bytearray(b"\x00\x01junk")), (5, bytearray(M.mux(b"x" * 1024)[:60]))], "id long, media binary")
     rows = M.packet_table(df, "id", "media").orderBy("packet").collect()
     assert [r["byte_size"] for r in rows] == [512, 512] and {r["id"] for r in rows} == {1}
