@@ -1,13 +1,16 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
-Of a text's suffixes (one from each word) only those at minimisers stay: positions whose hash
-of the next ``GRAM`` words is the least of ``WINDOW`` neighbours. Content alone selects them, so
-equal passages keep equal suffixes: any passage of ``MIN_WORDS`` = GRAM + WINDOW - 1 words has one.
-The suffixes are sorted across the cluster by (hash of their first GRAM words, document,
-position); neighbours that share the hash are in documents that share GRAM words. Around such a
-hash all stretches of MIN_WORDS words are hashed and sorted in the same way: a neighbour of the
-same hash is a match of MIN_WORDS words in an earlier document, whatever part of the passage other
-documents quote. Overlapping matches of a document are joined.
+1. Of a text's suffixes (one from each word) only those at minimisers stay: positions whose hash
+   of the next ``GRAM`` words is the least of ``WINDOW`` neighbours. Content alone selects them, so
+   equal passages keep equal suffixes: any passage of ``MIN_WORDS`` = GRAM + WINDOW - 1 words has one.
+2. The suffixes are sorted across the cluster by their first GRAM words, then document and place. As in
+   prefix doubling a prefix is represented by a number (its hash): the order among different prefixes is not
+   the alphabet's, which nothing depends on; equal prefixes are neighbours. A comparison along
+   each run of neighbours gives each suffix the first document that shares GRAM words with it.
+3. Matches are extended to both sides: the stretches of MIN_WORDS words around a shared prefix, from each
+   place up to WINDOW - 1 words to its left, are sorted and compared in the same way. So a match is found
+   against every earlier holder, whatever part of the passage the others quote, and overlapping
+   matches of a document join to the passage's true ends.
 
 Guarantee: exactly the words of a document are covered that are in a passage of MIN_WORDS words or
 more which an earlier document (smaller id) has too.
@@ -21,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import Shelf, arrow_map, batch, table
+from heliograph.llm.common import Shelf, arrow_map, batch, table, unused
 
 GRAM, WINDOW = 32, 19
 MIN_WORDS = GRAM + WINDOW - 1
-#: A repeated passage's first kept suffix is at most WINDOW - 1 words from its start.
-REACH = WINDOW + 1
 
 
 def _sliding(x: np.ndarray, size: int, of) -> np.ndarray:
@@ -101,85 +102,53 @@ MATCH = pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("of_doc", pa.int64
 
 
 def _neighbours(it):
-    """Each sorted suffix with its nearest predecessor of the same hash in another document.
+    """Each sorted suffix with the first one of its prefix, if that is of another document.
 
-    A partition's first hash may have begun in an earlier partition: the rows of its first and
-    last hash are marked (edge 1: the run of the first document, 2: the last row), so that the
-    few rows at the bounds can be matched afterwards.
+    A partition's first prefix may have begun in an earlier partition: its rows are marked (edge 1),
+    and so is what the partition knows of its last prefix (edge 2, once, with the partition's first prefix
+    as ``pos`` 1 if that is the same), so that the partitions can be put together afterwards.
     """
-    before = None  # last row: h, doc, pos; and the last row of the document before it with that hash, or None
-    other = None
-    first_h, first_doc, opening = None, None, True
+    opening, first = None, None  # the first prefix; the first row of the prefix at hand
     for b in it:
         if not b.num_rows:
             continue
         h, doc, pos = (c.to_numpy() for c in b.columns)
-        if first_h is None:
-            first_h, first_doc = h[0], doc[0]
-        n = len(h)
-        new_h = np.ones(n, bool)
-        new_h[1:] = h[1:] != h[:-1]
-        new_run = new_h.copy()
-        new_run[1:] |= doc[1:] != doc[:-1]
-        if before is not None and before[0] == h[0]:
-            new_h[0] = False
-            new_run[0] = before[1] != doc[0]
-        run_at = np.maximum.accumulate(np.where(new_run, np.arange(n), -1))
-        group_at = np.maximum.accumulate(np.where(new_h, np.arange(n), -1))
-        # the row before the own run, if it is of the own group
-        j = run_at - 1
-        ok = (run_at >= 0) & (j >= np.maximum(group_at, 0)) & ~((run_at == group_at) & (group_at >= 0))
-        of_doc, of_pos = np.where(ok, doc[np.maximum(j, 0)], 0), np.where(ok, pos[np.maximum(j, 0)], 0)
-        # runs that go on from, or follow, the batch before
-        lead = (group_at < 0) & ((run_at < 0) | (run_at == 0))
-        if lead.any() and before is not None:
-            source = np.where(run_at == 0, 1, 0)
-            for kind, row in ((1, before), (0, other)):
-                at = lead & (source == kind)
-                if row is not None and at.any():
-                    of_doc[at], of_pos[at], ok[at] = row[1], row[2], True
-        edge = np.zeros(n, np.int32)
-        if opening:
-            at = (h == first_h) & (doc == first_doc)
-            edge[at & ~ok] = 1
-            opening = bool(at.all())
-        take = ok | (edge > 0)
-        yield batch(MATCH, [doc[take], pos[take], np.where(ok, of_doc, doc)[take], np.where(ok, of_pos, pos)[take], h[take], edge[take]])
-        last = (h[-1], doc[-1], pos[-1])
-        r = run_at[-1]
-        if r < 0:
-            pass  # the batch is one run, begun before: its predecessor stays
-        elif ok[-1]:
-            other = (h[-1], of_doc[-1], of_pos[-1])
-        else:
-            other = None
-        before = last
-    if before is not None:
-        yield batch(MATCH, [[before[1]], [before[2]], [other[1] if other else before[1]], [other[2] if other else before[2]], [before[0]], [2]])
+        opening = h[0] if opening is None else opening
+        new = np.append(first is None or first[0] != h[0], h[1:] != h[:-1])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        of_doc, of_pos = doc[np.maximum(at, 0)], pos[np.maximum(at, 0)]
+        if first is not None:
+            of_doc, of_pos = np.where(at < 0, first[1], of_doc), np.where(at < 0, first[2], of_pos)
+        edge = (h == opening).astype(np.int32)
+        take = (of_doc != doc) | (edge > 0)
+        yield batch(MATCH, [doc[take], pos[take], of_doc[take], of_pos[take], h[take], edge[take]])
+        first = (h[-1], of_doc[-1], of_pos[-1])
+    if first is not None:
+        yield batch(MATCH, [[0], [int(first[0] == opening)], [first[1]], [first[2]], [first[0]], [2]])
 
 
 def matched(made: DataFrame, shelf: Shelf, name: str) -> DataFrame:
-    """(doc, pos, of_doc, of_pos, h): the rows (h, doc, pos) of ``name`` on the shelf, which is dropped, whose hash an earlier document has."""
+    """(doc, pos, of_doc, of_pos, h): the rows (h, doc, pos) of ``name`` on the shelf, which is dropped, whose prefix h an earlier document has; and its first place there."""
     parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = made.repartitionByRange(parts, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
     got = arrow_map(ordered, _neighbours, "doc long, pos int, of_doc long, of_pos int, h long, edge int")
     got = shelf.put(f"{name}-matches", got.withColumn("part", F.spark_partition_id()))
     shelf.drop(name)
-    # at most one hash at each bound: a partition's opening run of one document, against the last row of the partition before
-    last = got.filter("edge = 2").groupBy("part").agg(F.max(F.struct("h", "doc", "pos", "of_doc", "of_pos")).alias("l"))
-    # parts without rows are passed over: each part's last row is handed to the next part that has rows
-    order = sorted((r["part"], tuple(r["l"])) for r in last.collect())
-    nexts = []
-    for k in range(1, len(order)):
-        h, doc, pos, of_doc, of_pos = order[k - 1][1]
-        nexts.append((order[k][0], h, doc, pos, of_doc, of_pos))
-    inner = got.filter("edge = 0").select("doc", "pos", "of_doc", "of_pos", "h")
-    if not nexts:
-        return inner
-    bounds = made.sparkSession.createDataFrame(nexts, "part int, h long, bdoc long, bpos int, bof_doc long, bof_pos int")
-    own = got.filter("edge = 1").join(F.broadcast(bounds), ["part", "h"])
-    fits = own.select("doc", "pos", "h", F.when(F.col("bdoc") != F.col("doc"), F.struct(F.col("bdoc").alias("d"), F.col("bpos").alias("p"))).when(F.col("bof_doc") != F.col("doc"), F.struct(F.col("bof_doc").alias("d"), F.col("bof_pos").alias("p"))).alias("o")).filter("o is not null")
-    return inner.unionByName(fits.select("doc", "pos", F.col("o.d").alias("of_doc"), F.col("o.p").alias("of_pos"), "h"))
+    # one row for each partition that has rows: its last prefix, the first row of that, and whether it is the first prefix too
+    last = sorted((r["part"], r["h"], r["of_doc"], r["of_pos"], r["pos"]) for r in got.filter("edge = 2").collect())
+    bounds, held = [], None
+    openings = {r["part"]: r["h"] for r in got.filter("edge = 1").groupBy("part").agg(F.first("h").alias("h")).collect()}
+    for part, h, of_doc, of_pos, whole in last:
+        goes_on = held is not None and held[0] == openings[part]
+        if goes_on:
+            bounds.append((part, *held))
+        held = held if goes_on and whole else (h, of_doc, of_pos)
+    rows = got.filter("edge < 2")
+    if not bounds:
+        return rows.filter("doc <> of_doc").select("doc", "pos", "of_doc", "of_pos", "h")
+    begun = made.sparkSession.createDataFrame(bounds, "part int, h long, b_doc long, b_pos int")
+    joined = rows.join(F.broadcast(begun), ["part", "h"], "left")
+    return joined.select("doc", "pos", F.coalesce("b_doc", "of_doc").alias("of_doc"), F.coalesce("b_pos", "of_pos").alias("of_pos"), "h").filter("doc <> of_doc")
 
 
 def _stretches(it):
@@ -216,7 +185,7 @@ PASSAGE = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_w
 
 
 def _joined(it):
-    """Overlapping matches of a document as one passage, with the earlier place of its first match."""
+    """Overlapping matches of a document as one passage, with the first place of its first match."""
     for b in it:
         m = b.column(1)
         rows = m.flatten()
@@ -236,9 +205,10 @@ def repeated_passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
 
     Words are runs without white space, compared exactly; words are counted from 0 and end_word
     is not included. The document with the smallest id keeps a passage; of_doc_id is
-    an earlier one that has its first MIN_WORDS words, of_start_word their place there. Repeats within one document
+    the smallest id that has its first MIN_WORDS words, of_start_word their first place there. Repeats within one document
     alone don't count. Null ids or texts, and texts shorter than MIN_WORDS words, have no
-    passages; rows with the same id count as one document. Other columns are ignored.
+    passages; rows with the same id count as one document. An empty table gives an empty result.
+    Other columns are ignored.
     """
     shelf = shelf or Shelf(docs.sparkSession, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -251,22 +221,27 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-def cut(docs: DataFrame, passages: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents without their repeated passages; those of which no word is left go."""
-    spans = passages.groupBy(F.col("doc_id").alias("cut_id__")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("cut__"))
+def cut(docs: DataFrame, passages: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The documents without their repeated passages; those of which no word is left by that go.
+
+    Rows with the same id are cut at the same words. Null ids and texts stay as they are; other
+    columns stay, whatever their names.
+    """
+    spans, whose = unused(docs, "spans"), unused(docs, "whose")
+    found = passages.groupBy(F.col("doc_id").alias(whose)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(spans))
     names = docs.columns
-    both = docs.join(spans, docs["doc_id"] == spans["cut_id__"], "left").select(*[docs[f"`{c}`"] for c in names], "cut__")
+    both = docs.join(found, docs[f"`{id_col}`"] == found[whose], "left").select(*[docs[f"`{c}`"] for c in names], spans)
     schema, at = docs.schema, names.index(text_col)
 
     def run(it):
         for b in it:
             texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
-            for i, spans in enumerate(b.column(len(names)).to_pylist()):
-                if not spans:
+            for i, own in enumerate(b.column(len(names)).to_pylist()):
+                if not own or texts[i] is None:
                     continue
                 s, e, _ = tk.Block([texts[i]]).words()
                 out, done = [], 0
-                for r in sorted((r["start_word"], r["end_word"]) for r in spans):
+                for r in sorted((r["start_word"], r["end_word"]) for r in own):
                     if r[0] < len(s):
                         out.append(texts[i][done : max(done, s[r[0]])])
                         done = max(done, int(e[min(r[1], len(e)) - 1]))
@@ -279,6 +254,9 @@ def cut(docs: DataFrame, passages: DataFrame, text_col: str = "text") -> DataFra
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document has; n_chars, where it is there, is counted anew."""
+    """Cuts passages that an earlier document has; n_chars, where it is there, is counted anew.
+
+    Null and empty texts stay; repeated rows are one document, which is no repeat of itself.
+    """
     out = cut(docs, repeated_passages(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

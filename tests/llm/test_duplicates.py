@@ -63,11 +63,11 @@ def brute_components(docs, k):
     return [(i, len(sets[i]), find(i), find(i) == i) for i in range(len(docs))]
 
 
-@pytest.mark.parametrize("k, pairs_each, leaders", [(2, 50, 4), (5, 50, 4), (2, 0, 2)])
-def test_near_duplicates(spark, monkeypatch, k, pairs_each, leaders):
-    monkeypatch.setattr(neardup, "PAIRS_EACH", pairs_each)
-    monkeypatch.setattr(neardup, "LEADERS", leaders)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+@pytest.mark.parametrize("k, rounds, sketches, sets", [(2, 2, (512, 1 << 18), (64, 1 << 18)), (5, 1, (16, 1 << 18), (8, 1 << 18)), (2, 3, (8, 500), (64, 500))])
+def test_near_duplicates(spark, monkeypatch, k, rounds, sketches, sets):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", sketches)
+    monkeypatch.setattr(neardup, "SET_BLOCK", sets)
     docs = corpus()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumns({"n": F.lit(1), "rep": F.lit("x"), "kept": F.lit(None).cast("string")})
     got = sorted(tuple(r) for r in neardup.near_duplicates(df, words=k).collect())
@@ -85,6 +85,14 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, 3, None] and kept[0].asDict().keys() == {"doc_id", "text", "lang"}
 
 
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 7)
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40)))) for _ in range(20)]
+    left, right = np.array([0, 3, 5, 7]), np.array([1, 2, 3, 9, 19])
+    assert neardup._overlaps(sets, left, right).tolist() == [[len(set(sets[i]) & set(sets[j])) for j in right] for i in left]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(80)]
@@ -142,13 +150,9 @@ def test_repeated_passages(spark):
         got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
         a, b = (WORD.findall(docs[r[c]]) for c in ("doc_id", "of_doc_id"))
         assert r["of_doc_id"] < r["doc_id"] and r["n_words"] >= repeats.MIN_WORDS
-        assert a[r["start_word"] : r["start_word"] + 32] == b[r["of_start_word"] : r["of_start_word"] + 32]
-    sure, may = repeated(docs, repeats.MIN_WORDS), repeated(docs, repeats.GRAM)
-    # what is left out is at an end, where the nearest earlier document differs from the one that goes on
-    near = {i: {w + d for w in got[i] for d in range(-repeats.REACH, repeats.REACH + 1)} for i in sure}
-    assert not {i: sorted(sure[i] - near[i]) for i in sure if sure[i] - near[i]}
-    assert sum(len(sure[i] - got[i]) for i in sure) < 0.01 * sum(map(len, sure.values()))
-    assert not {i: sorted(got[i] - may[i]) for i in got if got[i] - may[i]}
+        assert a[r["start_word"] : r["start_word"] + repeats.MIN_WORDS] == b[r["of_start_word"] : r["of_start_word"] + repeats.MIN_WORDS]
+        assert not any(" ".join(a[r["start_word"] : r["start_word"] + repeats.MIN_WORDS]) in " ".join(WORD.findall(t or "")) for t in docs[: r["of_doc_id"]])
+    assert got == repeated(docs, repeats.MIN_WORDS)
     assert repeats.repeated_passages(df.limit(0)).count() == 0
 
 
@@ -161,6 +165,7 @@ def test_neighbours_across_partitions_and_batches(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     spark.conf.set("spark.sql.shuffle.partitions", "6")
     rows = repeats.repeated_passages(df).collect()
+    assert {r["of_doc_id"] for r in rows} == {0, 40}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     assert sorted({r["doc_id"] for r in rows}) == list(range(1, 45)) and all(r["n_words"] >= 60 for r in rows)
@@ -168,8 +173,8 @@ def test_neighbours_across_partitions_and_batches(spark, monkeypatch):
 
 def test_cut_keeps_the_first(spark):
     docs = passages()
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumns({"n_chars": F.length("text").cast("long"), "cut__": F.lit(1)})
-    out = {r["doc_id"]: r for r in repeats.stage(spark, df.drop("cut__"), "").collect()}
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumns({"n_chars": F.length("text").cast("long"), "cut__": F.lit(1), "spans": F.lit("x"), "Whose": F.lit(2)})
+    out = {r["doc_id"]: r for r in repeats.stage(spark, df, "").collect()}
     assert out[0]["text"] == docs[0] and len(docs) - 1 not in out
     left = [out[i]["text"] if i in out else "" for i in range(len(docs))]
     # what remains is at the ends of passages and where a cut has put two pieces together
@@ -211,25 +216,6 @@ def test_decontamination(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0
 
 
-def test_latent_search_recall_against_exact_cosine(spark):
-    items, docs, _ = leaky()
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
-    (index,) = decontam.build(df, bench)
-    row, term, value, n = decontam._rows(docs, index.items, index.idf, index.unknown)
-    exact = np.zeros((n, index.items.size))
-    np.add.at(exact, (row, term), value)
-    q = np.zeros((len(items), index.items.size))
-    r, t, v, _ = decontam._item_rows(index.items, index.idf)
-    np.add.at(q, (r, t), v)
-    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(exact @ q.T >= 0.3), strict=True)}
-    owner, number, start, cosine, *_ = decontam.candidates(index, docs)
-    doc, h = decontam.terms_of(docs)
-    s, _, _ = decontam._passages(doc, len(docs))
-    found = {(int(np.searchsorted(s, a)), int(j)) for a, j in zip(start, number, strict=True)}
-    assert len(want & found) >= 0.9 * len(want) and len(want) > 50
-
-
 def test_lcs_against_the_table():
     rng = random.Random(6)
     for _ in range(50):
