@@ -1,49 +1,104 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance along directories.
 
-Lines that have a licence word (``ANCHORS``) are compared with the templates of headers and
-licence files as sparse TF-IDF vectors: terms are runs of a-z and 0-9; document frequencies are
-counted over all documents; a term that no template has counts in a line's length as if no
-document had it. A document's own licence is its best line's. A document that is mostly licence
-text, or is named like a licence file, sets its directory's licence; a document without its own
-licence inherits from the nearest directory above it that has one.
+Each document is compared with the templates, of headers and of whole licence files, as a whole
+and by its windows of one to ``LINES`` lines (headers are wrapped), as sparse TF-IDF vectors: terms are runs
+of a-z and 0-9; document frequencies are counted over all documents; a term that no template has
+counts in a vector's length as if no document had it. A document's own licence is its best
+window's. A document that as a whole is like a template, or has a licence and is named like a licence
+file, sets its directory's licence; a document without its own licence inherits from the nearest
+directory above it that has one.
+
+Only windows that can reach the threshold are looked at: of a template's terms the lightest, whose
+weights together have less than ``COSINE`` of its length, can't bring a cosine to ``COSINE``; a window needs
+one of the others. The bound follows from the cosine and loses nothing.
+
+Texts of the GPL, LGPL, AGPL, MPL and Apache licences are too long to be templates here: such files
+are known by their titles and notices, or by their names.
 
 Everything is DataFrame operations. Broadcast are only tables made from ``TEMPLATES``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import Shelf, table
 
-#: Licence (SPDX name) and a line of its header or licence file.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def _gnu(name: str) -> str:
+    return f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+You should have received a copy of the GNU {name} along with this program. If not, see http://www.gnu.org/licenses/."""
+
+
+#: Licence (SPDX name) and a header line, a notice, or the text of its licence file.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "The MIT License (MIT)"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", _MIT.split("\n")[0]),
+    ("MIT", _MIT),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", "ISC License"),
+    ("ISC", _ISC),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", _APACHE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", _gnu("General Public License")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _gnu("Lesser General Public License")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", _gnu("Affero General Public License")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", _BSD.split("\n")[0]),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "\n".join([_BSD, _BSD_NAME, _BSD_END])),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "\n".join([_BSD, _BSD_END])),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("Zlib", _ZLIB),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", _UNLICENSE),
 ]
-ANCHORS = ["licen", "permission", "redistribut", "public domain"]
-COSINE, MOSTLY = 0.6, 0.5
+COSINE, LINES = 0.6, 3
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.\-][^/]*)?$"
 TERM = "[a-z0-9]+"
 
@@ -58,12 +113,39 @@ def _vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in re.findall(TERM, text.lower())})
 
 
+def _needed(weights: DataFrame) -> list[str]:
+    """The terms of which a window needs one: those of each template but the lightest, which together stay below ``COSINE`` of its length.
+
+    At most as many as the templates have terms.
+    """
+    lightest = F.transform(F.array_sort(F.collect_list(F.struct("tw", "term"))), lambda x: x)
+    below = F.aggregate(
+        "all",
+        F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out")),
+        lambda s, x: F.struct((s["sum"] + x["tw"] * x["tw"]).alias("sum"), F.when(s["sum"] + x["tw"] * x["tw"] < ((COSINE - 1e-5) * F.col("tn")) ** 2, s["out"]).otherwise(F.concat(s["out"], F.array(x["term"]))).alias("out")),
+    )["out"]
+    return sorted(r["term"] for r in weights.groupBy("k", "tn").agg(lightest.alias("all")).select(F.explode(below).alias("term")).distinct().collect())
+
+
+def _windows(text: Column, needed: list[str]) -> Column:
+    """Structs (at, size, terms) of a text's windows with one of the needed terms; size 0 is the whole text."""
+    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.regexp_extract_all(x, F.lit(TERM), F.lit(0)))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.flatten(lines).alias("terms")))
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(1), F.size(lines) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.flatten(F.slice(lines, i, n)).alias("terms")))
+
+    have = F.array(*map(F.lit, needed)) if needed else F.array().cast("array<string>")
+    return F.filter(F.concat(whole, *[of(n) for n in range(1, LINES + 1)]), lambda w: F.arrays_overlap(w["terms"], have))
+
+
 def scan(files: DataFrame) -> DataFrame:
     """(doc_id, path, license, how, cosine, from_path) for each row of files (doc_id, path, text).
 
-    how: header (an own line), file (the document is a licence file), inherited, or null; of
-    several best lines or files the alphabetically first licence, then the first path. Null and
-    empty texts have no line, null paths no directory; they inherit nothing. Rows should have
+    how: header (an own window), file (the document is a licence file), inherited, or null; of
+    several best windows or files the alphabetically first licence, then the first path. Null and
+    empty texts have no window, null paths no directory; they inherit nothing. Null ids get no licence of their own. Rows should have
     different ids; repeated ones get the same licence. Other columns are ignored.
     """
     spark = files.sparkSession
@@ -82,24 +164,22 @@ def scan(files: DataFrame) -> DataFrame:
     norms = weights.groupBy("k").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     weights = shelf.put("weights", weights.join(F.broadcast(norms), "k").filter("tn > 0"))
 
-    low = F.lower("text")
-    some = reduce(Column.__or__, [low.contains(a) for a in ANCHORS])
-    lines = files.filter(some).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", F.lower("line").alias("line"), F.size(_terms(F.col("line"))).alias("words"))
-    sizes = lines.groupBy("doc_id").agg(F.sum("words").alias("all_words"))
-    marked = lines.filter(reduce(Column.__or__, [F.col("line").contains(a) for a in ANCHORS]))
-    tf = marked.select("doc_id", "line_no", "words", F.explode(_terms(F.col("line"))).alias("term")).groupBy("doc_id", "line_no", "words", "term").agg(F.count("*").alias("tf"))
+    some = files.filter("doc_id is not null").select("doc_id", F.explode(_windows(F.col("text"), _needed(weights))).alias("w"))
+    windows = some.select("doc_id", F.col("w.at").alias("at"), F.col("w.size").alias("size"), F.col("w.terms").alias("terms")).distinct()
+    # a term's count is taken in its window's row, so what is moved has a row for each different term
+    tf = windows.select("doc_id", "at", "size", F.explode(_counted(F.col("terms"))).alias("t")).select("doc_id", "at", "size", "t.term", "t.tf")
     unknown = F.log(1 + F.col("all_n"))
     count_ = terms.agg(F.max("n").alias("all_n"))
-    weighted = tf.join(F.broadcast(terms.select("term", "idf")), "term", "left").crossJoin(F.broadcast(count_)).select("doc_id", "line_no", "words", "term", (F.col("tf") * F.coalesce("idf", unknown)).alias("w"))
+    weighted = tf.join(F.broadcast(terms.select("term", "idf")), "term", "left").crossJoin(F.broadcast(count_)).select("doc_id", "at", "size", "term", (F.col("tf") * F.coalesce("idf", unknown)).alias("w"))
     weighted = shelf.put("weighted", weighted)
-    length = weighted.groupBy("doc_id", "line_no", "words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(weights), "term").groupBy("doc_id", "line_no", "k", "license", "tn").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    length = weighted.groupBy("doc_id", "at", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(weights), "term").groupBy("doc_id", "at", "size", "k", "license", "tn").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("tn")), 6)
-    best = dots.join(length, ["doc_id", "line_no"]).select("doc_id", "line_no", "words", "license", cosine.alias("cosine")).filter(F.col("cosine") >= COSINE)
-    by_line = best.groupBy("doc_id", "line_no", "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    own = by_line.groupBy("doc_id").agg(F.min("b").alias("b"), F.sum("words").alias("licence_words")).join(sizes, "doc_id")
-    own = shelf.put("own", own.select("doc_id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (F.col("licence_words") >= MOSTLY * F.col("all_words")).alias("mostly")).distinct())
+    best = dots.join(length, ["doc_id", "at", "size"]).select("doc_id", "size", "license", cosine.alias("cosine")).filter(F.col("cosine") >= COSINE)
+    own = best.groupBy("doc_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.min(F.when(F.col("size") == 0, F.struct((-F.col("cosine")).alias("c"), "license"))).alias("whole"))
+    own = own.withColumn("b", F.coalesce("whole", "b"))
+    own = shelf.put("own", own.select("doc_id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.col("whole").isNotNull().alias("mostly")))
+    shelf.drop("weighted")
 
     places = files.select("doc_id", "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")).alias("dir"))
     marked = places.join(own, "doc_id", "left").withColumn("is_file", F.col("license").isNotNull() & (F.coalesce("mostly", F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))))
@@ -108,12 +188,21 @@ def scan(files: DataFrame) -> DataFrame:
     depths = F.sequence(F.lit(0), F.size(F.split("dir", "/")))
     above = F.transform(depths, lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(F.split("dir", "/"), 1, d), "/").alias("above")))
     dirs = marked.filter("license is null and dir is not null").select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.above")
-    nearest = dirs.join(of_dir, "above").groupBy("dir").agg(F.max_by("f", "depth").alias("f"))
+    nearest = shelf.put("nearest", dirs.join(of_dir, "above").groupBy("dir").agg(F.max_by("f", "depth").alias("f")))
+    # a large directory's documents are dealt with their directory's row, several times where there are many
     out = marked.join(nearest.withColumnRenamed("dir", "at"), (F.col("dir") == F.col("at")) & F.col("license").isNull(), "left")
     how = F.when(F.col("is_file"), "file").when(F.col("license").isNotNull(), "header").when(F.col("f").isNotNull(), "inherited")
     return out.select("doc_id", "path", F.coalesce("license", "f.license").alias("license"), how.alias("how"), F.coalesce("cosine", -F.col("f.c")).alias("cosine"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("f.path")).alias("from_path"))
 
 
+def _counted(terms: Column) -> Column:
+    """Structs (term, tf) of an array of terms: runs in the sorted array, so that no term is looked for among all."""
+    ordered = F.array_sort(terms)
+    firsts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+    ends = F.concat(F.slice(firsts, F.lit(2), F.size(firsts)), F.array(F.size(ordered) + 1))
+    return F.zip_with(firsts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+
+
 def with_paths(docs: DataFrame) -> DataFrame:
     """Documents as files: source/lang/doc_id.txt."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
@@ -125,8 +214,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
-    has = lambda c: "(" + " OR ".join(f"contains({c}, '{a}')" for a in ANCHORS) + ")"
+    values = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+    windows = " UNION ALL ".join([f"SELECT doc_id, unnest(range(1, len(l) - {n - 2})) AS at_, {n} AS size, l FROM l" for n in range(1, LINES + 1)])
     return f"""
 WITH t(k, license, line) AS (VALUES {values}),
 tt AS (SELECT k, license, term, count(*) AS tf FROM (SELECT k, license, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM t) GROUP BY ALL),
@@ -136,16 +225,14 @@ df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM (SELE
 terms AS (SELECT v.term, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) AS idf FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN df USING (term), n),
 w AS (SELECT k, license, term, tf * idf AS tw FROM tt JOIN terms USING (term)),
 tn AS (SELECT k, sqrt(sum(tw * tw)) AS tn FROM w GROUP BY k),
-lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM files WHERE {has("lower(text)")})),
-sized AS (SELECT *, len(regexp_extract_all(line, '{TERM}')) AS words FROM lines),
-tf AS (SELECT doc_id, line_no, words, term, count(*) AS tf FROM (SELECT doc_id, line_no, words, unnest(regexp_extract_all(line, '{TERM}')) AS term FROM sized WHERE {has("line")}) GROUP BY ALL),
-weighted AS (SELECT doc_id, line_no, words, term, tf * coalesce(idf, ln(1 + n)) AS w FROM tf LEFT JOIN terms USING (term), n),
-len AS (SELECT doc_id, line_no, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
-best AS (SELECT doc_id, line_no, words, license, round(sum(w * tw) / (norm * tn), 6) AS cosine FROM weighted JOIN w USING (term) JOIN tn USING (k) JOIN len USING (doc_id, line_no) GROUP BY doc_id, line_no, words, k, license, norm, tn),
-by_line AS (SELECT doc_id, line_no, words, min({{'c': -cosine, 'l': license}}) AS b FROM best WHERE cosine >= {COSINE} GROUP BY ALL),
-own AS (SELECT doc_id, min(b) AS b, sum(words) AS lw FROM by_line GROUP BY doc_id),
-marked AS (SELECT f.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, b.l AS license, -(b.c) AS cosine, b IS NOT NULL AND lw >= {MOSTLY} * aw AS is_file
-  FROM files f LEFT JOIN own USING (doc_id) LEFT JOIN (SELECT doc_id, sum(words) AS aw FROM sized GROUP BY doc_id) USING (doc_id)),
+l AS (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM files),
+win AS (SELECT doc_id, 0 AS at_, 0 AS size, l AS part FROM l UNION ALL SELECT doc_id, at_, size, l[at_:at_ + size - 1] AS part FROM ({windows})),
+tf AS (SELECT doc_id, at_, size, term, count(*) AS tf FROM (SELECT doc_id, at_, size, unnest(regexp_extract_all(array_to_string(part, ' '), '{TERM}')) AS term FROM win) GROUP BY ALL),
+weighted AS (SELECT doc_id, at_, size, term, tf * coalesce(idf, ln(1 + n)) AS w FROM tf LEFT JOIN terms USING (term), n),
+len AS (SELECT doc_id, at_, size, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
+best AS (SELECT doc_id, size, license, round(sum(w * tw) / (norm * tn), 6) AS cosine FROM weighted JOIN w USING (term) JOIN tn USING (k) JOIN len USING (doc_id, at_, size) WHERE tn > 0 GROUP BY doc_id, at_, size, k, license, norm, tn),
+own AS (SELECT doc_id, coalesce(min({{'c': -cosine, 'l': license}}) FILTER (WHERE size = 0), min({{'c': -cosine, 'l': license}})) AS b, bool_or(size = 0) AS whole FROM best WHERE cosine >= {COSINE} GROUP BY doc_id),
+marked AS (SELECT f.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, b.l AS license, -(b.c) AS cosine, b IS NOT NULL AND whole AS is_file FROM files f LEFT JOIN own USING (doc_id)),
 of_dir AS (SELECT dir AS above, min({{'c': -cosine, 'l': license, 'p': path}}) AS f FROM marked WHERE is_file GROUP BY dir),
 dirs AS (SELECT dir, d AS depth, array_to_string(string_split(dir, '/')[1:d], '/') AS above FROM (SELECT DISTINCT dir FROM marked WHERE license IS NULL), range(0, 10) r(d) WHERE d <= len(string_split(dir, '/'))),
 nearest AS (SELECT dir, arg_max(f, depth) AS f FROM dirs JOIN of_dir USING (above) GROUP BY dir)
