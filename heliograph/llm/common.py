@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heliograph.llm import textkit
+
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -121,7 +125,24 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         now = int(str(conf.get(key)).rstrip("bB") or 0)
         if now <= 0 or now > most:
             conf.set(key, str(most))
-    return df.mapInArrow(fn, schema)
+
+    def run(it):
+        try:
+            yield from fn(it)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives the memory of a task back: workers stay for the next stages, beside the executor's heap."""
+    textkit.TABLES.shrink()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def extended(schema: T.StructType, ddl: str) -> T.StructType:

@@ -35,7 +35,7 @@ from heliograph.llm.graphs import components
 #: Hashes retained, and the least overlap of two full sketches at a similarity of 0.8.
 K, OVERLAP = 48, 23
 #: Documents and hashes a block of sketches and one of full sets has about; rounds against single documents before blocks are compared.
-SKETCH_BLOCK, SET_BLOCK, ROUNDS = (256, 1 << 18), (64, 1 << 18), 2
+SKETCH_BLOCK, SET_BLOCK, ROUNDS = (512, 1 << 18), (256, 1 << 18), 2
 #: Ids that are sent to all executors at most.
 SENT = 1_000_000
 #: Columns of the matrices of one comparison.

@@ -42,6 +42,11 @@ class _Tables:
             self._powers = tuple(out)
         return self._powers
 
+    def shrink(self) -> None:
+        """Forgets powers beyond a block's; a very long text has made them."""
+        if len(self._powers[0]) > 2 * BLOCK:
+            self._powers = (np.ones(1, U), np.ones(1, U))
+
     @property
     def code(self) -> np.ndarray:
         if self._code is None:
