@@ -166,6 +166,29 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+#: Classes of file events.
+EVENT_KINDS = ("create", "modify", "remove", "access")
+
+
+def coarse_kind(kind: Column) -> Column:
+    """The class of a file event, whose name may go on after a bracket, slash or dot; other for the rest."""
+    head = F.lower(F.regexp_extract(kind, r"^\s*([A-Za-z]+)", 1))
+    return F.when(head.isin(list(EVENT_KINDS)), head).otherwise("other")
+
+
+def percent_encode(text: Column) -> Column:
+    """Everything but letters, digits and -_.~ as %XX of its UTF-8 bytes."""
+    form = F.url_encode(text)
+    for a, b in ((r"\+", "%20"), (r"\*", "%2A"), ("%7E", "~")):
+        form = F.regexp_replace(form, a, b)
+    return form
+
+
+def model_tag(path: Column) -> Column:
+    """A model file's name without folder and ending, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", ""))
+
+
 def file_safe(tag: Column) -> Column:
     return F.regexp_replace(tag, "[^A-Za-z0-9.-]", "_")
 

@@ -3,24 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.text import default_tokens
+from heliograph.sources.scratch import written
 
 K1, B = 1.2, 0.75
 #: Scores are rounded before ranking, so that ranks don't depend on the order of floating-point sums.
 DIGITS = 9
 
 
+#: Folders of terms by hash: a query reads only those of its terms.
+BUCKETS = 64
+
+
+class Index(NamedTuple):
+    """Stored postings (field, term, id, dl, tf, bucket), sizes (field, n, avgdl) and what makes a text's terms."""
+
+    terms: DataFrame
+    sizes: DataFrame
+    analyze: Callable[[Column], Column]
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _tokens(corpus: DataFrame, analyze: Callable[[Column], Column], fields: tuple[str, ...]) -> DataFrame:
+    """(id, field, tokens): null and empty fields have none."""
+    parts = None
+    for f in fields:
+        one = corpus.select("id", F.lit(f).alias("field"), analyze(F.coalesce(F.col(f), F.lit(""))).alias("tokens"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def lengths(corpus: DataFrame, analyze: Callable[[Column], Column] = default_tokens, fields: tuple[str, ...] = ("body",)) -> DataFrame:
+    """(id, field, dl)"""
+    return _tokens(corpus, analyze, fields).select("id", "field", F.size("tokens").alias("dl"))
+
+
 def postings(corpus: DataFrame, analyze: Callable[[Column], Column] = default_tokens, fields: tuple[str, ...] = ("body",)) -> DataFrame:
-    """(field, term, id, tf, dl): the inverted index. Term counts are combined before the shuffle, as a document's tokens are in one task."""
-    parts = [corpus.select("id", F.lit(f).alias("field"), analyze(F.coalesce(F.col(f), F.lit(""))).alias("tokens")) for f in fields]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    """(field, term, id, dl, tf): the inverted index. Term counts are combined before the shuffle, as a document's tokens are in one task."""
+    return _tokens(corpus, analyze, fields).select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+
+
+def in_buckets(posted: DataFrame) -> DataFrame:
+    """Postings in the order of the stored index: ranges of terms, so that a frequent term is split among tasks."""
+    order = ["bucket", "term", "field", "id"]
+    return posted.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "id").sortWithinPartitions(*order)
+
+
+def build(corpus: DataFrame, analyze: Callable[[Column], Column] = default_tokens, fields: tuple[str, ...] = ("body",)) -> Index:
+    """An index of a corpus in scratch storage, for as long as the application runs."""
+    sizes = lengths(corpus, analyze, fields).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Index(written(in_buckets(postings(corpus, analyze, fields)), "terms", ("bucket",)), written(sizes, "sizes"), analyze)
 
 
 def query_terms(queries: DataFrame, analyze: Callable[[Column], Column] = default_tokens) -> DataFrame:
@@ -35,18 +75,32 @@ def scores(corpus: DataFrame, queries: DataFrame, analyze: Callable[[Column], Co
     the first join, whose other side is the query set; so what is shuffled is what they match.
     """
     terms = query_terms(queries, analyze)
-    distinct = terms.select("term").distinct()
-    parts = None
-    for f in fields:
-        one = corpus.select("id", F.lit(f).alias("field"), analyze(F.coalesce(F.col(f), F.lit(""))).alias("tokens"))
-        parts = one if parts is None else parts.unionByName(one)
+    parts = _tokens(corpus, analyze, fields)
     sizes = parts.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    tf = parts.select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(distinct, "term").groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    tf = parts.select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    return _scored(tf, sizes, terms)
+
+
+def scores_from(index: Index, queries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) like ``scores``, from a stored index: only the folders of the queries' terms are read.
+
+    With ``known`` (id) only those documents are ranked; frequencies stay those of the whole index.
+    """
+    terms = query_terms(queries, index.analyze)
+    asked = terms.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
+    tf = index.terms.join(asked, ["bucket", "term"]).select("field", "term", "id", "dl", "tf")
+    return _scored(tf, index.sizes, terms, known)
+
+
+def _scored(tf: DataFrame, sizes: DataFrame, terms: DataFrame, known: DataFrame | None = None) -> DataFrame:
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.join(F.broadcast(sizes), "field").select("field", "term", weight.alias("idf"), "avgdl")
+    # a row for each field
+    weighted = df.join(F.broadcast(sizes), "field").select("field", "term", weight.alias("idf"), "avgdl").join(terms, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(weighted, ["field", "term"]).join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    if known is not None:
+        tf = tf.join(known.select("id"), "id", "left_semi")
+    return tf.join(weighted, ["field", "term"]).groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:

@@ -91,60 +91,85 @@ def spans_of(source: str, language: str) -> list[Span]:
     return _brace_spans(source.split("\n"), language)
 
 
+def _part(chunk: dict, body: str, first: int, last: int, i: int, n: int) -> dict:
+    name = f"{chunk['qualified']}#" if chunk["qualified"] else ""
+    return chunk | {"body": body, "line_start": first, "line_end": last, "qualified": f"{name}part-{i}/{n}"}
+
+
 def hard_cap(chunk: dict, cap: int = TARGET) -> list[dict]:
-    """Pieces of at most ``cap`` bytes along lines; names get #part-i/N, N being the guess from the size. A longer line is cut at characters."""
-    body = chunk["body"]
-    size = len(body.encode())
+    """Pieces of whole lines, as many as fit ``cap`` bytes; a longer line is a piece of its own. Names get #part-i/N, N being the guess from the size."""
+    size = len(chunk["body"].encode())
     if size <= cap:
         return [chunk]
-    guess, pieces = -(-size // cap), []
-    held, held_size, first = [], 0, chunk["line_start"]
-    at = chunk["line_start"]
-
-    def flush(last: int) -> None:
-        nonlocal held, held_size, first
-        if held:
-            pieces.append(("\n".join(held), first, last))
-        held, held_size, first = [], 0, last + 1
-
-    for line in body.split("\n"):
-        n = len(line.encode())
-        if held and held_size + 1 + n > cap:
-            flush(at - 1)
-            first = at
-        while len(line.encode()) > cap:
-            cut = len(line.encode()[:cap].decode(errors="ignore"))
-            pieces.append((line[:cut], at, at))
-            line = line[cut:]
-        held.append(line)
-        held_size += len(line.encode()) + (len(held) > 1)
-        at += 1
-    flush(at - 1)
-    return [chunk | {"body": b, "line_start": a, "line_end": z, "qualified": f"{chunk['qualified']}#part-{i}/{guess}"} for i, (b, a, z) in enumerate(pieces, 1)]
+    groups: list[list[str]] = []
+    held = 0
+    for line in chunk["body"].split("\n"):
+        n = len(line.encode()) + 1
+        # the line break after the last line counts in all pieces but the first
+        if not groups or held + n > cap + (len(groups) == 1):
+            groups.append([])
+            held = 0
+        groups[-1].append(line)
+        held += n
+    out, first = [], chunk["line_start"]
+    for i, lines in enumerate(groups, 1):
+        out.append(_part(chunk, "\n".join(lines), first, first + len(lines) - 1, i, -(-size // cap)))
+        first += len(lines)
+    return out
 
 
-def token_cap(chunk: dict, count: Callable[[str], int], cap: int) -> list[dict]:
-    """Pieces of at most ``cap`` tokens: lines greedily, a long line by halves. Each has its own lines."""
-    if count(chunk["body"]) <= cap:
-        return [chunk]
+def split_tokens(text: str, count: Callable[[str], int], cap: int) -> list[str]:
+    """Pieces of at most ``cap`` tokens: lines greedily; a longer line in equal parts by its bytes, each halved until it fits or has 16 bytes."""
+    if cap < 1:
+        raise ValueError("a piece has at least one token")
+    if count(text) <= cap:
+        return [text]
+    out: list[str] = []
+    held: list[str] = []
 
-    def halves(text: str) -> list[str]:
-        return [text] if count(text) <= cap or len(text) < 2 else halves(text[: len(text) // 2]) + halves(text[len(text) // 2 :])
+    def close() -> None:
+        if held and (piece := "\n".join(held)):
+            out.append(piece)
+        held.clear()
 
-    out, held, first, at = [], [], chunk["line_start"], chunk["line_start"]
-    for line in chunk["body"].split("\n"):
-        if held and count("\n".join([*held, line])) > cap:
-            out.append(("\n".join(held), first, at - 1))
-            held, first = [], at
+    for line in text.split("\n"):
+        if count("\n".join([*held, line])) <= cap:
+            held.append(line)
+            continue
+        close()
         if count(line) > cap:
-            out += [(h, at, at) for h in halves(line)]
-            first = at + 1
+            out += _split_line(line.encode(), count, cap)
         else:
             held.append(line)
-        at += 1
-    if held:
-        out.append(("\n".join(held), first, at - 1))
-    return [chunk | {"body": b, "line_start": a, "line_end": z, "qualified": f"{chunk['qualified']}#part-{i}/{len(out)}"} for i, (b, a, z) in enumerate(out, 1)]
+    close()
+    return out
+
+
+def _split_line(raw: bytes, count: Callable[[str], int], cap: int) -> list[str]:
+    share = max(1, len(raw) // -(-count(raw.decode()) // cap))
+    out, at = [], 0
+
+    def whole(end: int) -> int:
+        """The next end of a character."""
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        return end
+
+    while at < len(raw):
+        end = whole(min(at + share, len(raw)))
+        while count(raw[at:end].decode()) > cap and end - at > 16:
+            end = whole(at + (end - at) // 2)
+        out.append(raw[at:end].decode())
+        at = end
+    return out
+
+
+def token_cap(chunk: dict, count: Callable[[str], int], cap: int) -> list[dict]:
+    """Pieces of at most ``cap`` tokens, each with the lines of the whole chunk; bodies are stored, so a piece keeps its own."""
+    pieces = split_tokens(chunk["body"], count, cap)
+    if len(pieces) == 1:
+        return [chunk]
+    return [_part(chunk, p, chunk["line_start"], chunk["line_end"], i, len(pieces)) for i, p in enumerate(pieces, 1)]
 
 
 def chunk_source(source: str, language: str) -> list[dict]:
@@ -155,15 +180,14 @@ def chunk_source(source: str, language: str) -> list[dict]:
     chunk = lambda a, z, kind, name: {"kind": kind, "qualified": name, "line_start": a, "line_end": z, "body": body(a, z)}
     flat: list[Span] = []
 
-    def visit(spans: list[Span], prefix: str) -> None:
+    def visit(spans: list[Span]) -> None:
         for s in spans:
-            name = f"{prefix}{s.name}"
             if len(body(s.first, s.last).encode()) > TARGET and s.inner:
-                visit(s.inner, f"{name}." if s.name else prefix)
+                visit(s.inner)
             else:
-                flat.append(Span(s.first, s.last, s.kind, name))
+                flat.append(Span(s.first, s.last, s.kind, s.name))
 
-    visit(spans_of(source, language), "")
+    visit(spans_of(source, language))
     if not flat:
         return hard_cap(chunk(1, len(lines), "file", ""))
     out, small = [], []
@@ -187,12 +211,19 @@ def chunk_source(source: str, language: str) -> list[dict]:
     return out
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    """(path, language, chunk, kind, qualified, line_start, line_end, body) of files (path, language, source)."""
+def chunks(files: DataFrame, count: Callable[[str], int] | None = None, max_tokens: int = 512) -> DataFrame:
+    """(path, language, chunk, kind, qualified, line_start, line_end, body) of files (path, language, source).
+
+    With a token counter no piece has more than ``max_tokens`` less 8 tokens.
+    """
+
+    def pieces(source: str, language: str) -> list[dict]:
+        made = chunk_source(source, language)
+        return made if count is None else [p for c in made for p in token_cap(c, count, max(1, max_tokens - 8))]
 
     def run(it):
         for pdf in it:
-            rows = [{"path": p, "language": g, "chunk": i, **c} for p, g, s in zip(pdf["path"], pdf["language"], pdf["source"], strict=True) if s for i, c in enumerate(chunk_source(s, g))]
+            rows = [{"path": p, "language": g, "chunk": i, **c} for p, g, s in zip(pdf["path"], pdf["language"], pdf["source"], strict=True) if s for i, c in enumerate(pieces(s, g))]
             yield pd.DataFrame(rows, columns=["path", "language", "chunk", "kind", "qualified", "line_start", "line_end", "body"])
 
     return files.select("path", "language", "source").mapInPandas(run, "path string, language string, chunk int, kind string, qualified string, line_start int, line_end int, body string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,19 @@ WINDOW_S = 300
 
 def accepted_times(times: Column, window: int = WINDOW_S) -> Column:
     """Of a sorted array of seconds those that are kept: a duplicate within ``window`` (included) of the last kept one is dropped and doesn't extend it."""
-    return F.aggregate(times, F.array().cast("array<bigint>"), lambda kept, t: F.when((F.size(kept) > 0) & (t - F.element_at(kept, -1) <= window), kept).otherwise(F.concat(kept, F.array(t))))
+
+    @F.pandas_udf("array<bigint>")
+    def run(rows: pd.Series) -> pd.Series:
+        def kept(t) -> list[int]:
+            out: list[int] = []
+            for x in t:
+                if not out or x - out[-1] > window:
+                    out.append(int(x))
+            return out
+
+        return rows.map(kept)
+
+    return run(times)
 
 
 def dedup_window(rows: DataFrame, keys: list[str], ts: str, order: str, window: int = WINDOW_S) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.sources.scratch import written
+
 
 def replace_by_key(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """All rows of the fresh keys are replaced."""
@@ -22,23 +24,27 @@ def evict_older(obs: DataFrame, vectors: DataFrame, cutoff: int) -> tuple[DataFr
 
 
 def with_ids(existing: DataFrame, fresh: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
-    """Dense ids that follow the largest one, in the given order.
+    """Dense ids that follow the largest one, in the given order; ties are in no particular order.
 
-    Row numbers without one global sort task: rows are range-partitioned by the order, counted
-    by partition, and numbered within; only a count for each partition reaches the driver.
+    Row numbers without one global sort task: rows are range-partitioned by the order and a hash
+    of the row, so that a frequent value is split, and sorted within. They are written once with
+    their partition and place in it; counts and ids both come from that copy, so they fit each
+    other however often it is read. Only a count for each partition reaches the driver.
     """
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
-    placed = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id())
-    placed = placed.withColumn("nth__", F.row_number().over(Window.partitionBy("part__").orderBy(*order)))
-    counts = {r["part__"]: r["count"] for r in placed.groupBy("part__").count().collect()}
+    by = [*[F.col(c) for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in fresh.columns])]
+    # the identifier has the partition in its upper bits and the place in the lower 33
+    placed = written(fresh.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place__", F.monotonically_increasing_id()), "placed")
+    part, nth = F.shiftright("place__", 33), F.col("place__").bitwiseAND((1 << 33) - 1)
+    counts = {r["part__"]: r["count"] for r in placed.groupBy(part.alias("part__")).count().collect()}
     before, total = [], top
     for p in sorted(counts):
         before.append((p, total))
         total += counts[p]
     if not before:
         return fresh.withColumn(id_col, F.lit(None).cast("long"))
-    offsets = fresh.sparkSession.createDataFrame(before, "part__ int, before__ long")
-    return placed.join(F.broadcast(offsets), "part__").withColumn(id_col, F.col("before__") + F.col("nth__")).drop("part__", "nth__", "before__")
+    offsets = fresh.sparkSession.createDataFrame(before, "part__ long, before__ long")
+    return placed.withColumn("part__", part).join(F.broadcast(offsets), "part__").withColumn(id_col, F.col("before__") + nth + 1).drop("part__", "place__", "before__")
 
 
 def upsert_sessions(existing: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -49,6 +55,12 @@ def upsert_sessions(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.select(pick("id", "e", "f"), pick("started_ts", "e", "f"), pick("branch", "f", "e"), pick("cwd", "f", "e"))
 
 
+def cache_split(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (with emb) and misses of wanted (key, ...) in a cache (key, emb)."""
+    both = wanted.join(cache.select("key", "emb"), "key", "left")
+    return both.filter("emb is not null"), both.filter("emb is null").drop("emb")
+
+
 def add_synonym(synonyms: DataFrame, a: str, b: str) -> DataFrame:
     return synonyms.unionByName(synonyms.sparkSession.createDataFrame([(a, b), (b, a)], "term string, expansion string")).dropDuplicates()
 

@@ -62,6 +62,29 @@ def power_bucket(n: Column) -> Column:
 
 
 def churn(events: DataFrame, window_s: int) -> DataFrame:
-    """Counts by path, by root and by kind in one pass."""
-    events.createOrReplaceTempView("churn_events__")
-    return events.sparkSession.sql(f"SELECT path, root, kind, count(*) AS n, CASE WHEN {window_s} = 0 THEN 0.0D ELSE round(count(*) * 60.0D / {max(window_s, 1)}, 6) END AS per_min FROM churn_events__ GROUP BY GROUPING SETS ((path), (root), (kind))")
+    """Counts by path, by root and by kind in one pass, and changes a minute."""
+    per_min = F.round(F.count("*") * F.lit(60.0) / window_s, 6) if window_s else F.lit(0.0)
+    return events.groupingSets([["path"], ["root"], ["kind"]], "path", "root", "kind").agg(F.count("*").alias("n"), per_min.alias("per_min"))
+
+
+def counters(events: DataFrame, by: str, outcome: str, outcomes: list[str]) -> DataFrame:
+    """A row for each value of ``by`` with the number of events of each outcome."""
+    return events.groupBy(by).pivot(outcome, outcomes).count().na.fill(0, outcomes)
+
+
+def last_errors(events: DataFrame, n: int = 8, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """The last n rows; each task keeps its own last n."""
+    return events.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def rolling_counts(events: DataFrame, keys: list[str], sec: str, order: str, window_s: int, most: int | None = None) -> DataFrame:
+    """Adds ``in_window``: a key's events in the ``window_s`` seconds up to each one, at most ``most``.
+
+    A frequent key is no single task: time is cut into slots of the window's length, each event is
+    copied to the next slot, and a window never looks back further than that.
+    """
+    slot = F.floor(F.col(sec) / max(window_s, 1)).cast("long")
+    copies = events.withColumn("slot__", F.explode(F.array(slot, slot + 1))).withColumn("own__", F.col("slot__") == slot)
+    w = Window.partitionBy(*keys, "slot__").orderBy(sec).rangeBetween(-window_s, 0)
+    counted = copies.withColumn("in_window", F.count("*").over(w)).filter("own__").drop("slot__", "own__")
+    return counted if most is None else counted.withColumn("in_window", F.least("in_window", F.lit(most)))

@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heliograph import evaluate, sweeps
 from heliograph.functions import text as T
 from heliograph.functions.vectors import dot_i8, l2_normalize, quantize_i8
-from heliograph.operators import bm25, dedup, dml, fusion, metrics, vector
+from heliograph.operators import bm25, dedup, dml, fusion, metrics, paths, vector
 from heliograph.plans.recall import CodeRecallConfig, Mode, RecallConfig, context, expand, recall, recall_code
 from heliograph.sources.readers import EXCLUDES
-from heliograph.sources.store import SYNONYM_PAIRS
+from heliograph.sources.store import CODE_FIELDS, SYNONYM_PAIRS, code_terms
 
+PERCENTILES = sweeps.PERCENTILES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -70,6 +72,20 @@ def one_query(spark: SparkSession, d: str, text: str = TEXT) -> DataFrame:
     return q8.select(F.lit(0).cast("long").alias("qid"), F.lit(text).alias("text"), "q8")
 
 
+_indexes: dict[tuple[str, str, str], bm25.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str, name: str) -> bm25.Index:
+    """The stored index of a table, made once for the application: ``obs`` by words, ``pages`` by parts of identifiers, ``stems`` by their stems."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _indexes:
+        if name == "obs":
+            _indexes[key] = bm25.build(obs(spark, d))
+        else:
+            _indexes[key] = bm25.build(pages(spark, d).withColumn("path_text", F.col("path")), code_terms if name == "stems" else T.code_tokens, CODE_FIELDS)
+    return _indexes[key]
+
+
 # --- SQL pieces -----------------------------------------------------------------------------
 def s_tokens(c: str) -> str:
     return f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) < 40)"
@@ -135,12 +151,12 @@ S_HYDRATED = "\nSELECT b.qid, b.position, b.id, o.grp, b.score, o.kind, o.body F
 # --- retrieval ------------------------------------------------------------------------------
 @query(s_recall(["bm", "vec"]) + S_HYDRATED)
 def hybrid_recall(spark, d):
-    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), synonyms(spark))
+    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), synonyms(spark), index=index_of(spark, d, "obs"))
 
 
 @query(s_recall(["bm"]) + S_HYDRATED)
 def hybrid_recall_mode_bm25(spark, d):
-    return recall(obs(spark, d), None, one_query(spark, d), synonyms(spark), RecallConfig(mode=Mode.BM25))
+    return recall(obs(spark, d), None, one_query(spark, d), synonyms(spark), RecallConfig(mode=Mode.BM25), index=index_of(spark, d, "obs"))
 
 
 @query(s_recall(["vec"]) + S_HYDRATED)
@@ -150,7 +166,7 @@ def hybrid_recall_mode_vector(spark, d):
 
 @query(s_recall(["bm", "vec"]) + S_HYDRATED)
 def hybrid_recall_no_synonyms(spark, d):
-    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), None, RecallConfig(synonyms=False))
+    return recall(obs(spark, d), vectors(spark, d), one_query(spark, d), None, RecallConfig(synonyms=False), index=index_of(spark, d, "obs"))
 
 
 @query(f"WITH {S_OBS}, {S_ONE}, {s_bm25()}, {s_top('bm', 't', 50)} SELECT qid, id, score, rank FROM t")
@@ -158,6 +174,18 @@ def bm25_topk(spark, d):
     return bm25.top(bm25.scores(obs(spark, d), one_query(spark, d)), 50)
 
 
+@query(f"WITH {S_OBS}, {S_ONE}, {s_bm25()}, {s_top('bm', 't', 50)} SELECT qid, id, score, rank FROM t")
+def bm25_from_index(spark, d):
+    return bm25.top(bm25.scores_from(index_of(spark, d, "obs"), one_query(spark, d)), 50)
+
+
+@query(s_recall(["bm"], q="q AS (SELECT 0::BIGINT AS qid, 'k8s db the der und enheit of' AS text)") + S_HYDRATED)
+def hybrid_recall_synonyms(spark, d):
+    """Words that no document has, whose expansions documents have; an expansion that is a word of the query already counts once."""
+    pairs = spark.createDataFrame([("k8s", "der"), ("db", "und"), ("db", "enheit"), ("db", "der"), ("the", "of"), ("the", "THE"), ("other", "and")], "term string, expansion string")
+    return recall(obs(spark, d), None, one_query(spark, d, "k8s db the"), pairs, RecallConfig(mode=Mode.BM25), index=index_of(spark, d, "obs"))
+
+
 @query(f"WITH {S_OBS.replace('FROM documents', chr(70) + 'ROM documents WHERE lang = ' + chr(39) + 'de' + chr(39))}, q AS (SELECT 0::BIGINT AS qid, 'der und enheit' AS text), {s_bm25()}, {s_top('bm', 't', 50)} SELECT qid, id, score, rank FROM t")
 def bm25_language_filter(spark, d):
     return bm25.top(bm25.scores(obs(spark, d).filter("kind = 'de'"), one_query(spark, d, "der und enheit")), 50)
@@ -172,7 +200,7 @@ def bench(spark, d) -> DataFrame:
 
 @query(f"WITH {S_OBS}, {S_BENCH}, {s_bm25()}, {s_top('bm', 'bm_top', 50)}, {s_fuse('bm_top')}, grouped AS (SELECT f.*, grp FROM fused f JOIN obs USING (id)), {s_diverse('grouped', 'grp', 3, 10)} SELECT qid, position, id, grp, score FROM best")
 def batch_recall(spark, d):
-    return recall(obs(spark, d).select("id", "grp", "body"), None, bench(spark, d), None, RecallConfig(mode=Mode.BM25, synonyms=False)).drop("body")
+    return recall(obs(spark, d).select("id", "grp", "body"), None, bench(spark, d), None, RecallConfig(mode=Mode.BM25, synonyms=False), index=index_of(spark, d, "obs")).drop("body")
 
 
 def s_code_bm(where: str = "") -> str:
@@ -181,8 +209,7 @@ def s_code_bm(where: str = "") -> str:
 
 @query(s_code_bm() + " SELECT qid, id, score, rank FROM bm_top")
 def code_bm25_multifield(spark, d):
-    p = pages(spark, d).withColumn("path_text", F.col("path"))
-    return bm25.top(bm25.scores(p, one_query(spark, d, CODE_TEXT), T.code_tokens, ("body", "qualified", "path_text")), 50)
+    return bm25.top(bm25.scores_from(index_of(spark, d, "pages"), one_query(spark, d, CODE_TEXT)), 50)
 
 
 def s_code_recall(where: str = "") -> str:
@@ -196,7 +223,7 @@ def code_result(df: DataFrame) -> DataFrame:
 
 @query(s_code_recall())
 def code_recall(spark, d):
-    return code_result(recall_code(pages(spark, d), vectors(spark, d), one_query(spark, d, CODE_TEXT), CodeRecallConfig(stem=False)))
+    return code_result(recall_code(pages(spark, d), vectors(spark, d), one_query(spark, d, CODE_TEXT), CodeRecallConfig(stem=False), index=index_of(spark, d, "pages")))
 
 
 @query(s_code_recall(" WHERE starts_with(url, 'https://') AND regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) = 'en'"))
@@ -206,7 +233,7 @@ def code_recall_filtered(spark, d):
 
 @query()
 def code_recall_stemmed(spark, d):
-    return code_result(recall_code(pages(spark, d), None, one_query(spark, d, CODE_TEXT), CodeRecallConfig(mode=Mode.BM25)))
+    return code_result(recall_code(pages(spark, d), None, one_query(spark, d, CODE_TEXT), CodeRecallConfig(mode=Mode.BM25), index=index_of(spark, d, "stems")))
 
 
 @query("SELECT page_id, term, count(*) AS tf FROM (SELECT page_id, unnest(" + s_code("url") + ") AS term FROM pages) GROUP BY ALL")
@@ -245,25 +272,25 @@ def l2_norms(spark, d):
 
 @query(f"WITH {S_VEC}, dots AS (SELECT 0::BIGINT AS qid, v.id, " + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + "::BIGINT AS score FROM vec v, vec z WHERE z.id = 0), " + s_top("dots", "t", 50) + " SELECT * FROM t")
 def vector_topk_i8(spark, d):
-    return bm25.top(vector.scores(vectors(spark, d), one_query(spark, d)), 50)
+    return bm25.top(vector.scores(vectors(spark, d), one_query(spark, d), 50), 50)
 
 
 @query(f"WITH {S_VEC}, dots AS (SELECT z.id AS qid, v.id, " + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + "::BIGINT AS score FROM vec v, vec z WHERE z.id % 100 = 0), " + s_top("dots", "t", 10) + " SELECT * FROM t")
 def vector_batch_topk(spark, d):
     q = vectors(spark, d).filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("emb_q8").alias("q8"))
-    return bm25.top(vector.scores(vectors(spark, d), q), 10)
+    return bm25.top(vector.scores(vectors(spark, d), q, 10), 10)
 
 
 @query(f"WITH vec AS (SELECT vec_id // 4 AS id, vec_id, {S_Q8} AS emb_q8 FROM embeddings), dots AS (SELECT 0::BIGINT AS qid, v.id, max(" + S_DOT.format(a="v.emb_q8", b="z.emb_q8") + ")::BIGINT AS score FROM vec v, vec z WHERE z.vec_id = 0 GROUP BY v.id), " + s_top("dots", "t", 50) + " SELECT * FROM t")
 def vector_maxpool_group(spark, d):
     chunks = vectors(spark, d).withColumn("id", F.expr("id div 4"))
-    return bm25.top(vector.scores(chunks, one_query(spark, d)), 50)
+    return bm25.top(vector.scores(chunks, one_query(spark, d), 50), 50)
 
 
 @query(f"WITH {S_OBS}, {S_ONE}, {s_bm25()}, {s_top('bm', 'bm_top', 50)}, {S_VEC}, {S_DOTS.format(corpus='obs')}, {s_top('dots', 'vec_top', 50)}, {s_fuse('bm_top', 'vec_top')} SELECT qid, id, score FROM fused")
 def rrf_fuse(spark, d):
     o, v, q = obs(spark, d), vectors(spark, d), one_query(spark, d)
-    return fusion.fuse([bm25.top(bm25.scores(o, q), 50), bm25.top(vector.scores(v.join(o, "id", "left_semi"), q), 50)])
+    return fusion.fuse([bm25.top(bm25.scores(o, q), 50), bm25.top(vector.scores(v.join(o, "id", "left_semi"), q, 50), 50)])
 
 
 @query(f"SELECT page_id, len(list_filter({s_path(repr('Blog example COM example en'))}, lambda t: list_contains({s_path('url')}, t)))::BIGINT AS matches FROM pages")
@@ -334,14 +361,24 @@ def has_secret(spark, d):
     return read(spark, d, "documents").select("doc_id", T.has_secret(F.col("text")).alias("has_secret"))
 
 
-@query(f"SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE {s_cut('text', 1000)} || '…[truncated]' END AS body FROM documents")
+@query(f"SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text ELSE {s_cut('text', 4096)} || '…[truncated]' END AS body FROM documents")
 def truncate_body(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.truncate_body(F.col("text"), 1000).alias("body"))
+    return read(spark, d, "documents").select("doc_id", T.truncate_body(F.col("text")).alias("body"))
+
 
+@query(f"SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE {s_cut('text', 200)} || '…' END AS line FROM documents")
+def truncate_mark(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.truncate_mark(F.col("text"), 200).alias("line"))
 
-@query("SELECT doc_id, i AS chunk_idx, substring(text, i * 1800 + 1, 1800) AS body FROM documents, range(0, 1000000) r(i) WHERE i <= greatest(length(text) - 1, 0) // 1800")
+
+S_PIECE = f"CASE WHEN strlen(rest) <= 1800 THEN rest ELSE {s_cut('rest', 1800)} END"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, -1::BIGINT AS chunk_idx, '' AS body, text AS rest FROM documents WHERE text IS NOT NULL UNION ALL
+SELECT doc_id, chunk_idx + 1, {S_PIECE}, substring(rest, length({S_PIECE}) + 1) FROM w WHERE rest <> '' OR chunk_idx < 0)
+SELECT doc_id, chunk_idx, body FROM w WHERE chunk_idx >= 0""")
 def chunk_windows(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_windows(F.col("text"))).alias("i", "body")).select("doc_id", F.col("i").cast("long").alias("chunk_idx"), "body")
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(T.byte_windows(F.col("text"))).alias("i", "body")).select("doc_id", F.col("i").cast("long").alias("chunk_idx"), "body")
 
 
 @query("SELECT doc_id, CASE WHEN len(l) >= 2 THEN array_to_string(l[2:4], chr(10)) ELSE '' END AS body FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS l FROM documents)")
@@ -396,10 +433,18 @@ def delete_by_path(spark, d):
     return dml.delete_keys(t, t.filter(F.col("source").isin("src1", "src2")), "source").select("doc_id")
 
 
-@query("SELECT c_custkey, 2000000 + row_number() OVER (ORDER BY c_name, c_custkey) AS id FROM customer")
+@query("SELECT event_id, 2000000 + row_number() OVER (ORDER BY user_id % 3, event_id) AS id FROM events")
 def dense_ids(spark, d):
     existing = spark.range(1).select(F.lit(2000000).cast("long").alias("id"))
-    return dml.with_ids(existing, read(spark, d, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"]).select("c_custkey", "id")
+    return dml.with_ids(existing, read(spark, d, "events").select((F.col("user_id") % 3).alias("hot"), "event_id"), ["hot", "event_id"]).select("event_id", "id")
+
+
+@query("WITH g AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS n FROM lineitem) SELECT count(*) AS n, count(*) AS ids, 1::BIGINT AS least, count(*) AS most FROM g")
+def dense_ids_lineitem(spark, d):
+    """Each row of the largest table has an id of its own, without gaps, however often the result is computed."""
+    made = dml.with_ids(spark.range(0), read(spark, d, "lineitem"), ["l_returnflag", "l_shipdate"])
+    both = made.select("id").unionByName(made.select("id"))
+    return both.agg((F.count("*") / 2).cast("long").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("least"), F.max("id").alias("most"))
 
 
 @query(f"WITH {S_SYN} SELECT DISTINCT term, expansion FROM syn WHERE term <> 'kubernetes' AND expansion <> 'kubernetes'")
@@ -419,21 +464,20 @@ def language_for_path(spark, d):
     return read(spark, d, "part").select(path.alias("part_path")).select("part_path", T.language_of(F.col("part_path")).alias("language"))
 
 
-ROOTS = ["https://", "https://www.", "http://", "http://blog."]
+ROOTS = ["https:", "https://www.example.com", "https://www.example.com/en", "http://blog.example.com/de/"]
 
 
-@query("SELECT page_id, coalesce(max_by(root, length(root)), 'other') AS root FROM pages LEFT JOIN (VALUES " + ", ".join(f"('{r}')" for r in ROOTS) + ") t(root) ON starts_with(url, root) GROUP BY page_id")
+@query("SELECT page_id, coalesce(max_by(root, length(rtrim(root, '/'))), 'other') AS root FROM pages LEFT JOIN (VALUES " + ", ".join(f"('{r}')" for r in ROOTS) + ") t(root) ON rtrim(url, '/') = rtrim(root, '/') OR starts_with(url, rtrim(root, '/') || '/') GROUP BY page_id")
 def root_longest_prefix(spark, d):
     roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
-    p = read(spark, d, "pages").select("page_id", "url")
-    return p.join(F.broadcast(roots), p["url"].startswith(roots["root"]), "left").groupBy("page_id").agg(F.coalesce(F.max_by("root", F.length("root")), F.lit("other")).alias("root"))
+    return paths.longest_root(read(spark, d, "pages").select("page_id", "url"), roots, "url", "other").select("page_id", "root")
 
 
 @query("SELECT o.page_id, coalesce(o.m <> n.m OR o.s <> n.s, true) AS stale FROM (SELECT page_id, page_id * 7 AS m, length(html) AS s FROM pages) o LEFT JOIN (SELECT page_id, page_id * 7 AS m, length(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS s FROM pages WHERE page_id % 11 <> 3) n USING (page_id)")
 def stale_flag(spark, d):
-    p = read(spark, d, "pages").select("page_id", (F.col("page_id") * 7).alias("m"), F.length("html").alias("s"))
-    disk = p.filter("page_id % 11 <> 3").select("page_id", F.col("m").alias("m2"), (F.col("s") + F.when(F.col("page_id") % 5 == 0, 1).otherwise(0)).alias("s2"))
-    return p.join(disk, "page_id", "left").select("page_id", F.coalesce((F.col("m") != F.col("m2")) | (F.col("s") != F.col("s2")), F.lit(True)).alias("stale"))
+    files = read(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), (F.col("page_id") * 7).alias("mtime_us"), F.length("html").alias("size"))
+    disk = files.filter("page_id % 11 <> 3").select("path", "mtime_us", (F.col("size") + F.when(F.col("page_id") % 5 == 0, 1).otherwise(0)).alias("size"))
+    return paths.with_stale(files.select("page_id", "path"), files, disk).select("page_id", "stale")
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text || chr(10), '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
@@ -445,8 +489,8 @@ def session_body(spark, d):
 @query("SELECT doc_id, c.k IS NOT NULL AS hit FROM documents LEFT JOIN (SELECT DISTINCT sha256('m:' || text) AS k FROM documents WHERE doc_id % 3 = 0) c ON sha256('m:' || text) = c.k")
 def embed_cache_split(spark, d):
     t = read(spark, d, "documents").select("doc_id", T.cache_key(F.lit("m"), F.col("text")).alias("key"))
-    cache = t.filter("doc_id % 3 = 0").select("key", F.lit(True).alias("hit")).distinct()
-    return t.join(cache, "key", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+    hits, misses = dml.cache_split(t, t.filter("doc_id % 3 = 0").select("key", F.array(F.lit(1.0)).alias("emb")).distinct())
+    return hits.select("doc_id", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", F.lit(False).alias("hit")))
 
 
 @query("""SELECT conv_id, turn, kind, body FROM (SELECT conv_id, turn, role, trim(text) AS body, CASE role WHEN 'user' THEN 'user_prompt' WHEN 'assistant' THEN 'assistant_message' ELSE 'subagent_message' END AS kind FROM conversations) WHERE body <> ''""")
@@ -510,12 +554,10 @@ def phase_share(spark, d):
     return s.select("phase", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "max", F.round("share", 6).alias("share"))
 
 
-@query("SELECT CASE WHEN GROUPING(bucket) = 1 THEN 'overall' ELSE bucket END AS bucket, mode, count(*) AS n, round(avg((rank <= 5)::INT), 6) AS hit_5, round(avg((rank <= 10)::INT), 6) AS hit_10, round(avg((rank <= 20)::INT), 6) AS hit_20, round(avg(1::DOUBLE / rank), 6) AS mrr FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'curated' ELSE 'synthetic' END AS bucket, event_type AS mode, event_id % 60 + 1 AS rank FROM events) GROUP BY GROUPING SETS ((bucket, mode), (mode))")
+@query("SELECT CASE WHEN GROUPING(bucket) = 1 THEN 'overall' ELSE bucket END AS bucket, mode, count(*) AS n, round(avg(coalesce(rank <= 5, false)::INT), 6) AS hit_5, round(avg(coalesce(rank <= 10, false)::INT), 6) AS hit_10, round(avg(coalesce(rank <= 20, false)::INT), 6) AS hit_20, round(avg(coalesce(1::DOUBLE / rank, 0)), 6) AS mrr, round(avg(latency_ms), 6) AS latency_ms FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 'curated' ELSE 'synthetic' END AS bucket, event_type AS mode, CASE WHEN event_id % 7 > 0 THEN event_id % 60 + 1 END AS rank, value AS latency_ms FROM events) GROUP BY GROUPING SETS ((bucket, mode), (mode))")
 def mode_stats(spark, d):
-    e = events(spark, d).select(F.when(F.col("user_id") % 3 == 0, "curated").otherwise("synthetic").alias("bucket"), F.col("event_type").alias("mode"), (F.col("event_id") % 60 + 1).alias("rank"))
-    hits = [F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"hit_{k}") for k in (5, 10, 20)]
-    both = e.groupingSets([["bucket", "mode"], ["mode"]], "bucket", "mode").agg(F.grouping("bucket").alias("g"), F.count("*").alias("n"), *hits, F.round(F.avg(F.lit(1.0) / F.col("rank")), 6).alias("mrr"))
-    return both.withColumn("bucket", F.when(F.col("g") == 1, "overall").otherwise(F.col("bucket"))).drop("g")
+    e = events(spark, d).select(F.when(F.col("user_id") % 3 == 0, "curated").otherwise("synthetic").alias("bucket"), F.col("event_type").alias("mode"), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 60 + 1).alias("rank"), F.col("value").alias("latency_ms"))
+    return evaluate.mode_stats(e)
 
 
 @query("SELECT CASE WHEN c <= 1 THEN '1' WHEN c <= 4 THEN '2-4' WHEN c <= 8 THEN '5-8' WHEN c <= 16 THEN '9-16' WHEN c <= 32 THEN '17-32' WHEN c <= 64 THEN '33-64' WHEN c <= 128 THEN '65-128' ELSE '129+' END AS bucket, count(*) AS calls, sum(c)::BIGINT AS chunks, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS call_share FROM (SELECT o_orderkey, count(*) * (o_orderkey % 40 + 1) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) GROUP BY 1")
@@ -525,24 +567,30 @@ def bucket_histogram(spark, d):
     return out.withColumn("call_share", F.round(F.col("calls") / F.sum("calls").over(Window.partitionBy()), 6))
 
 
-@query("SELECT lang, count(*) AS n, sum((t > 512)::INT)::BIGINT AS over_cap, round(100 * avg((t > 512)::INT), 6) AS pct, max(t) AS max FROM (SELECT lang, len(regexp_split_to_array(trim(text), '\\s+'))::BIGINT AS t FROM documents) GROUP BY lang")
+S_TOKENS = "t AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))::BIGINT AS tokens FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {S_TOKENS}, o AS (SELECT tokens, row_number() OVER (ORDER BY tokens) - 1 AS i, count(*) OVER () AS n FROM t) SELECT max(n) AS n, round(avg(tokens), 6) AS mean, " + ", ".join(f"max(tokens) FILTER (WHERE i = round((n - 1) * {p}::DOUBLE)) AS {k}" for k, p in PERCENTILES.items()) + ", max(tokens) AS max, sum((tokens > 512)::INT)::BIGINT AS over_cap, round(100 * avg((tokens > 512)::INT), 6) AS over_pct FROM o")
 def token_overflow(spark, d):
-    t = read(spark, d, "documents").select("lang", F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("t"))
-    over = (F.col("t") > 512).cast("int")
-    return t.groupBy("lang").agg(F.count("*").alias("n"), F.sum(over).alias("over_cap"), F.round(100 * F.avg(over), 6).alias("pct"), F.max("t").alias("max"))
+    t = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("path"), F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).cast("long").alias("tokens"))
+    return sweeps.token_summary(t, 512)
 
 
 @query("SELECT query, min(doc_id) AS doc_id FROM (SELECT doc_id, trim(string_split(text, ',')[1]) AS query FROM documents) WHERE length(query) >= 4 GROUP BY query")
 def synthetic_queries(spark, d):
-    q = read(spark, d, "documents").select("doc_id", F.trim(F.split("text", ",")[0]).alias("query"))
-    return q.filter(F.length("query") >= 4).groupBy("query").agg(F.min("doc_id").alias("doc_id"))
+    names = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return evaluate.synthetic_queries(names, "text").withColumnRenamed("id", "doc_id")
+
+
+S_RANKED = "r AS (SELECT page_id % 40 AS qid, url AS path, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS position FROM pages)"
 
 
-@query("SELECT b.item_id, min(p.page_id) AS first_rank, count(*) AS hits FROM benchmark b JOIN pages p ON contains(p.url, split_part(lower(b.text), ' ', 2)) GROUP BY b.item_id")
+@query(f"WITH {S_RANKED}, e AS (SELECT item_id AS qid, [split_part(lower(text), ' ', 2), '/fr/'] AS expect FROM benchmark WHERE item_id < 40) SELECT e.qid, min(position) FILTER (WHERE contains(path, expect[1]) OR contains(path, expect[2])) AS rank FROM e LEFT JOIN r USING (qid) GROUP BY e.qid")
 def expected_substring_rank(spark, d):
-    b = read(spark, d, "benchmark").select("item_id", F.split_part(F.lower("text"), F.lit(" "), F.lit(2)).alias("e"))
-    p = read(spark, d, "pages").select("page_id", "url")
-    return p.join(F.broadcast(b), p["url"].contains(b["e"])).groupBy("item_id").agg(F.min("page_id").alias("first_rank"), F.count("*").alias("hits"))
+    w = Window.partitionBy("qid").orderBy("page_id")
+    ranked = read(spark, d, "pages").select("page_id", (F.col("page_id") % 40).alias("qid"), F.col("url").alias("path")).withColumn("position", F.row_number().over(w).cast("long"))
+    wanted = read(spark, d, "benchmark").filter("item_id < 40").select(F.col("item_id").alias("qid"), F.array(F.split_part(F.lower("text"), F.lit(" "), F.lit(2)), F.lit("/fr/")).alias("expect"))
+    return evaluate.first_hits(ranked, wanted)
 
 
 # --- churn and windows ----------------------------------------------------------------------
@@ -565,8 +613,7 @@ def churn_grouping_sets(spark, d):
 
 @query(f"WITH {S_CHURN}, w AS (SELECT event_id, root, (epoch_us(ts) // 1000000) AS t FROM c) SELECT event_id, root, count(*) OVER (PARTITION BY root ORDER BY t RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS in_window FROM w")
 def rolling_churn_window(spark, d):
-    w = Window.partitionBy("root").orderBy("t").rangeBetween(-600, 0)
-    return churn_events(spark, d).withColumnRenamed("sec", "t").select("event_id", "root", F.count("*").over(w).alias("in_window"))
+    return metrics.rolling_counts(churn_events(spark, d), ["root"], "sec", "event_id", 600).select("event_id", "root", "in_window")
 
 
 @query(f"WITH {S_CHURN}, g AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM c), s AS (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts) AS k FROM g) SELECT path, epoch_us(min(ts)) // 1000000 AS first_s, count(*) AS n FROM s GROUP BY path, k")
@@ -582,13 +629,12 @@ def sliding_churn(spark, d):
 
 @query(f"WITH {S_CHURN} SELECT root, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS \"{k}\"" for k in ("click", "purchase", "view")) + " FROM c GROUP BY root")
 def scan_counters(spark, d):
-    kinds = ["click", "purchase", "view"]
-    return churn_events(spark, d).groupBy("root").pivot("kind", kinds).count().na.fill(0, kinds)
+    return metrics.counters(churn_events(spark, d), "root", "kind", ["click", "purchase", "view"])
 
 
-@query("SELECT lang, count(*) AS files, sum(n_chars // 1800 + 1)::BIGINT AS chunks FROM documents GROUP BY lang")
+@query("SELECT lang AS language, count(DISTINCT doc_id // 3) AS files, count(*) AS chunks FROM documents GROUP BY lang")
 def language_breakdown(spark, d):
-    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.expr("n_chars div 1800 + 1")).alias("chunks"))
+    return sweeps.language_breakdown(read(spark, d, "documents").select(F.col("lang").alias("language"), F.expr("doc_id div 3").alias("path")))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM events")

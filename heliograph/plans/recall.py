@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heliograph.functions.stemmer import stems
 from heliograph.functions.text import code_tokens, first_line, path_tokens, query_tokens, segment_matches
 from heliograph.operators import bm25, fusion, vector
+from heliograph.operators.paths import with_stale
 
 
 class Mode(Enum):
@@ -46,7 +47,7 @@ def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     Tokens keep their order and repeats; expansions are sorted, each once.
     """
     tokens = queries.select("qid", query_tokens(F.col("text")).alias("own"))
-    found = tokens.select("qid", F.explode(F.array_distinct("own")).alias("term")).join(F.broadcast(synonyms), "term").groupBy("qid").agg(F.array_sort(F.collect_set("expansion")).alias("more"))
+    found = tokens.select("qid", F.explode(F.array_distinct("own")).alias("term")).join(synonyms, "term").groupBy("qid").agg(F.array_sort(F.collect_set("expansion")).alias("more"))
     both = tokens.join(found, "qid", "left")
     once = F.aggregate(F.coalesce("more", F.array().cast("array<string>")), F.array().cast("array<string>"), lambda s, x: F.when(F.exists(s, lambda y: F.lower(y) == F.lower(x)), s).otherwise(F.concat(s, F.array(x))))
     new = F.filter(once, lambda x: ~F.exists("own", lambda t: F.lower(t) == F.lower(x)))
@@ -59,12 +60,12 @@ def expanded_text(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return queries.join(bags, "qid").select("qid", F.when(F.col("bag") == "", F.col("text")).otherwise(F.col("bag")).alias("text"))
 
 
-def recall(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, synonyms: DataFrame | None = None, config: RecallConfig | None = None, limit: int = 10) -> DataFrame:
+def recall(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, synonyms: DataFrame | None = None, config: RecallConfig | None = None, limit: int = 10, index: bm25.Index | None = None) -> DataFrame:
     """(qid, position, id, grp, score) and the corpus's other columns.
 
-    corpus (id, grp, body, ...), vectors (id, emb_q8), queries (qid, text, q8). Rows are
-    hydrated after the cut, so only what is returned is read wide. Blank queries and a limit of
-    0 give nothing.
+    corpus (id, grp, body, ...), vectors (id, emb_q8), queries (qid, text, q8). With an index of
+    the corpus only the queries' terms are read, without one its texts are. Rows are hydrated after the cut, so only
+    what is returned is read wide. Blank queries and a limit of 0 give nothing.
     """
     config = config or RecallConfig()
     queries = queries.filter(F.trim("text") != "")
@@ -73,16 +74,17 @@ def recall(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, syn
     streams = []
     if config.mode != Mode.VECTOR:
         words = expanded_text(queries, synonyms) if config.synonyms and synonyms is not None else queries
-        streams.append(bm25.top(bm25.scores(corpus, words), config.per_stream))
+        streams.append(bm25.top(bm25.scores(corpus, words) if index is None else bm25.scores_from(index, words), config.per_stream))
     if config.mode != Mode.BM25 and vectors is not None:
         known = vectors.join(corpus.select("id"), "id", "left_semi")
-        streams.append(bm25.top(vector.scores(known, queries), config.per_stream))
+        streams.append(bm25.top(vector.scores(known, queries, config.per_stream), config.per_stream))
     if not streams:
         raise ValueError("vectors are needed in this mode")
     fused = fusion.fuse(streams, config.rrf_k)
-    grouped = corpus.select("id", "grp").join(F.broadcast(fused), "id")
+    # no hint: the engine sends the smaller side around where it knows that it is small
+    grouped = corpus.select("id", "grp").join(fused, "id")
     best = fusion.diversify(grouped, "grp", config.cap, limit)
-    return corpus.join(F.broadcast(best.drop("grp")), "id").select("qid", "position", "id", "grp", "score", *[c for c in corpus.columns if c not in ("id", "grp")])
+    return corpus.join(best.drop("grp"), "id").select("qid", "position", "id", "grp", "score", *[c for c in corpus.columns if c not in ("id", "grp")])
 
 
 def code_scores(chunks: DataFrame, queries: DataFrame, stem: bool = True) -> DataFrame:
@@ -91,10 +93,13 @@ def code_scores(chunks: DataFrame, queries: DataFrame, stem: bool = True) -> Dat
     return bm25.scores(chunks.withColumn("path_text", F.col("path")), queries, analyze, ("body", "qualified", "path_text"))
 
 
-def recall_code(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: CodeRecallConfig | None = None, limit: int = 10, listing: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+def recall_code(
+    chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: CodeRecallConfig | None = None, limit: int = 10, listing: DataFrame | None = None, files: DataFrame | None = None, index: bm25.Index | None = None
+) -> DataFrame:
     """(qid, position, id, path, score, ...) of chunks (id, path, language, qualified, body, ...).
 
-    Language and path filters come before the ranking. With a listing of the disk and the stored
+    Language and path filters come before the ranking; with an index of all chunks they choose
+    what is ranked, and frequencies are those of all. With a listing of the disk and the stored
     files (path, mtime_us, size) a flag ``stale`` is added: unknown, missing or changed files.
     """
     config = config or CodeRecallConfig()
@@ -105,18 +110,16 @@ def recall_code(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame
         chunks = chunks.filter(F.col("path").startswith(config.path_prefix))
     streams = []
     if config.mode != Mode.VECTOR:
-        streams.append(bm25.top(code_scores(chunks, queries, config.stem), config.per_stream))
+        known = chunks if config.language or config.path_prefix else None
+        streams.append(bm25.top(code_scores(chunks, queries, config.stem) if index is None else bm25.scores_from(index, queries, known), config.per_stream))
     if config.mode != Mode.BM25 and vectors is not None:
-        streams.append(bm25.top(vector.scores(vectors.join(chunks.select("id"), "id", "left_semi"), queries), config.per_stream))
-    fused = chunks.select("id", "path").join(F.broadcast(fusion.fuse(streams, config.rrf_k)), "id").join(F.broadcast(queries.select("qid", path_tokens(F.col("text")).alias("ptoks"))), "qid")
+        streams.append(bm25.top(vector.scores(vectors.join(chunks.select("id"), "id", "left_semi"), queries, config.per_stream), config.per_stream))
+    fused = chunks.select("id", "path").join(fusion.fuse(streams, config.rrf_k), "id").join(queries.select("qid", path_tokens(F.col("text")).alias("ptoks")), "qid")
     fused = fusion.boost(fused, segment_matches(F.col("path"), F.col("ptoks")), config.path_boost).drop("ptoks")
     best = fusion.diversify(fused, "path", config.cap, limit)
-    out = chunks.join(F.broadcast(best.drop("path")), "id")
+    out = chunks.join(best.drop("path"), "id")
     if listing is not None and files is not None:
-        seen = listing.select("path", F.col("mtime_us").alias("now_m"), F.col("size").alias("now_s"))
-        was = files.select("path", F.col("mtime_us").alias("was_m"), F.col("size").alias("was_s"))
-        fresh = (F.col("now_m") == F.col("was_m")) & (F.col("now_s") == F.col("was_s"))
-        out = out.join(was, "path", "left").join(seen, "path", "left").withColumn("stale", ~F.coalesce(fresh, F.lit(False))).drop("now_m", "now_s", "was_m", "was_s")
+        out = with_stale(out, files, listing)
     return out
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Provider(Protocol):
@@ -41,6 +43,39 @@ class HashingProvider:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def embed_table(df: DataFrame, provider: Provider, text_col: str, out_col: str, size: int = 256, most_tokens: int = 8192) -> DataFrame:
+    """Adds the vectors of a column, made in calls of at most ``size`` texts and, as far as single texts allow, ``most_tokens`` tokens.
+
+    A call that fails is made once more, text by text.
+    """
+
+    def calls(texts: list[str]) -> Iterator[list[str]]:
+        held, tokens = [], 0
+        for t in texts:
+            n = min(provider.count_tokens(t), provider.max_tokens)
+            if held and (len(held) == size or tokens + n > most_tokens):
+                yield held
+                held, tokens = [], 0
+            held.append(t)
+            tokens += n
+        if held:
+            yield held
+
+    def made(texts: list[str]) -> list[np.ndarray]:
+        try:
+            return list(provider.embed_batch(texts))
+        except Exception:
+            return [provider.embed_batch([t])[0] for t in texts]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            texts = pdf[text_col].fillna("").tolist()
+            yield pdf.assign(**{out_col: [v for c in calls(texts) for v in made(c)]})
+
+    fields = [f for f in df.schema.fields if f.name != out_col]
+    return df.mapInPandas(run, T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.FloatType()))]))
+
+
 def embed(text: Column, provider: Provider) -> Column:
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

@@ -1,21 +1,26 @@
-"""The capture path: hook events to observations, in batch and as a stream.
+"""The capture path: hook events to observations, in batch and as a stream; file events to index updates.
 
-Event time is the rows' ``ts``; the watermark is the dedup window, so a row later than that is
-dropped. State for each (session, kind, body) is the last accepted time; it expires with the window.
+Event time is the rows' ``ts``. The streaming dedup keeps the last accepted time of each (session,
+kind, body) and drops it by a timer once the watermark is a window past it; rows behind the watermark are
+dropped by the engine.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from heliograph.functions import text as T
 from heliograph.operators.dedup import WINDOW_S
+from heliograph.sources.readers import git_branch
+from heliograph.sources.scratch import setting, shared_root
 
 #: Hooks, the fields their text is in, and the kinds they make.
 HOOKS = {"user-prompt-submit": (["prompt"], "user_prompt"), "stop": (["last_assistant_message"], "assistant_message"), "session-end": (["last_assistant_message"], "assistant_message"), "subagent-stop": (["last_assistant_message", "content"], "subagent_message")}
@@ -54,56 +59,93 @@ def tool_reference(events: DataFrame) -> DataFrame:
 
 
 def cleaned(events: DataFrame) -> DataFrame:
-    """Redacted, then cut to 4096 bytes; with the hash by which duplicates are known."""
-    out = events.withColumn("body", T.truncate_body(T.redact(F.col("body"))))
+    """Redacted, then cut to 4096 bytes, of a known kind; with the hash by which duplicates are known."""
+    out = events.withColumn("body", T.truncate_body(T.redact(F.col("body")))).withColumn("kind", T.normal_kind(F.col("kind")))
     return out.withColumn("hash", T.dedup_hash(F.col("session"), F.col("kind"), F.col("body")))
 
 
 class LastAccepted(StatefulProcessor):
-    """Keeps the time of a key's last accepted row; rows within the window of it are dropped."""
+    """Keeps the time of a key's last accepted row; rows within the window of it are dropped.
+
+    A micro-batch's rows of a key are put in order by their times, so that is what is held of them at
+    once; a row before the last accepted time can't be fresh.
+    """
 
     def __init__(self, columns: list[str], window: int = WINDOW_S) -> None:
         self.columns, self.window = columns, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts long")
+        self.handle, self.last = handle, handle.getValueState("last", "ts long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["ts", self.columns[0]])
-        last, keep = (self.last.get()[0] if self.last.exists() else None), []
+        pdf = pd.concat([r[self.columns] for r in rows]).sort_values(["ts", self.columns[0]])
+        before = last = self.last.get()[0] if self.last.exists() else None
+        keep = []
         for t in pdf["ts"]:
             fresh = last is None or t - last > self.window
             keep.append(fresh)
-            last = t if fresh else last
-        self.last.update((int(last),))
-        yield pdf[keep][self.columns]
+            last = int(t) if fresh else last
+        if last != before:
+            self.last.update((last,))
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(last))
+        if any(keep):
+            yield pdf[keep]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def _ends(self, ts: int) -> int:
+        """In milliseconds, the first moment at which a row is fresh again."""
+        return (int(ts) + self.window + 1) * 1000
 
     def close(self) -> None:
         pass
 
 
-def dedup_stream(stream: DataFrame, keys: list[str], schema: str, window: int = WINDOW_S) -> DataFrame:
+def dedup_stream(stream: DataFrame, keys: list[str], schema: str, window: int = WINDOW_S, lateness: str = "300 seconds") -> DataFrame:
     """Fresh rows of a stream with ``ts`` in seconds. The first column of the schema orders rows of one second."""
     names = [f.split()[0] for f in schema.split(", ")]
-    return stream.select(*names).groupBy(*keys).transformWithStateInPandas(LastAccepted(names, window), schema, "Append", "None")
+    timed = stream.select(*names, F.timestamp_seconds("ts").alias("event_time")).withWatermark("event_time", lateness)
+    return timed.groupBy(*keys).transformWithStateInPandas(LastAccepted(names, window), schema, "Append", "EventTime")
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """A bounded table through the streaming dedup, in one available-now run; state in RocksDB."""
-    from pyspark.sql import SparkSession
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
-    spark: SparkSession = events.sparkSession
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heliograph-")
-    import uuid
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers need, for streams that are started within."""
+    key, value = STATE_STORE
+    before = setting(spark, key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
-    root = f"{root}/replay-{uuid.uuid4().hex[:12]}"
+
+def replay(events: DataFrame) -> DataFrame:
+    """A bounded table through the streaming dedup, in one available-now run; state in RocksDB."""
+    spark = events.sparkSession
+    root = f"{shared_root(spark)}/replay-{uuid.uuid4().hex[:12]}"
     events.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
     out = dedup_stream(stream, ["session", "kind"], "event_id long, session string, kind string, ts long")
-    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    with rocksdb(spark):
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def hook_rows(spark: SparkSession, hook: str, payload: dict, ts: int) -> DataFrame:
+    """One hook's JSON as observations (session, kind, body, ts, branch): its text, or a line for a tool's use."""
+    given = lambda f: None if payload.get(f) is None else payload[f] if isinstance(payload[f], str) else json.dumps(payload[f])
+    row = (hook, ts, json.dumps(payload), payload.get("session_id") or "", payload.get("tool_name"), given("tool_input"), given("tool_response"), git_branch(payload["cwd"]) if payload.get("cwd") else None)
+    event = spark.createDataFrame([row], "hook string, ts long, payload string, session string, tool_name string, tool_input string, tool_response string, branch string")
+    made = tool_reference(event) if hook == "post-tool-use" else route(event)
+    return made.select("session", "kind", "body", "ts", "branch")
 
 
 def debounced(stream: DataFrame, delay: str = "250 milliseconds", lateness: str = "10 seconds") -> DataFrame:

@@ -65,7 +65,7 @@ def test_bm25_against_a_loop(spark):
 def test_vector_scores_take_the_best_chunk(spark):
     v = spark.createDataFrame([(1, [1, 2]), (1, [3, 4]), (2, [0, 1])], "id long, emb_q8 array<tinyint>")
     q = spark.createDataFrame([(7, [1, 1])], "qid long, q8 array<tinyint>")
-    assert {(r["id"], r["score"]) for r in vector.scores(v, q).collect()} == {(1, 7), (2, 1)}
+    assert {(r["id"], r["score"]) for r in vector.scores(v, q, 2).collect()} == {(1, 7), (2, 1)}
 
 
 @pytest.mark.parametrize("ranks, gold, column, want", [([3], 1, "r_at_5", 1), ([6], 1, "r_at_5", 0), ([], 1, "r_at_5", 0), ([1, 4], 2, "mrr", 1), ([1, 3, 9], 3, "p_at_5", 0.4), ([1, 2], 2, "ndcg_at_10", 1)])

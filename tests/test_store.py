@@ -153,7 +153,7 @@ def test_tool_references(spark):
 
 
 def test_streamed_dedup_equals_batch(spark):
-    rows = [(i, f"s{i % 3}", "k", (i * 37) % 2000) for i in range(200)]
+    rows = [(i, f"s{i % 3}", "k", 1000 + (i * 37) % 2000) for i in range(200)]
     events = spark.createDataFrame(rows, "event_id long, session string, kind string, ts long")
     batch = {r["event_id"] for r in dedup_window(events, ["session", "kind"], "ts", "event_id").filter("fresh").collect()}
     assert {r["event_id"] for r in capture.replay(events).collect()} == batch
