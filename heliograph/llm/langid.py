@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import arrow_map, batch, extended, in_fold, share_under, table
+from heliograph.llm.common import arrow_map, batch, extended, in_fold, share_under, table, unused
 
 #: Labelled texts learned from, the longest n-gram, and the least count of a word or n-gram that is kept.
-SAMPLE, LONGEST, LEAST, SMOOTH = 8_000, 5, 2, 0.5
+SAMPLE, LONGEST, LEAST, SMOOTH, CERTAIN = 8_000, 5, 2, 0.5, 3
 WORD = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -51,53 +51,61 @@ def _windows(starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray,
     return starts[word] - bound + np.arange(len(word)) - begin[word], word
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("word", pa.bool_()), ("key", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
 
 def _counts(it):
     for b in it:
         langs, texts = np.array(b.column(1).to_pylist(), object), b.column(0).to_pylist()
         for lang in sorted(set(langs)):
-            own, parts = [t for t, x in zip(texts, langs, strict=True) if x == lang and t], {True: [], False: []}
+            own, parts = [t for t, x in zip(texts, langs, strict=True) if x == lang and t], [[] for _ in range(LONGEST + 1)]
             for _, _, block in tk.blocks(own):
                 k, s, e, _ = _block(block.texts)
-                parts[True].append(k.hashes(s, e) ^ WORD)
+                parts[0].append(k.hashes(s, e) ^ WORD)
                 for n in range(1, LONGEST + 1):
                     at, _ = _windows(s, e, n)
-                    parts[False].append(k.hashes(at, at + n))
-            for word, hashes in parts.items():
+                    parts[n].append(k.hashes(at, at + n))
+            for kind, hashes in enumerate(parts):
                 keys, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, tk.U), [])
-                yield batch(COUNTS, [[lang] * len(keys), [word] * len(keys), tk.signed(keys), n])
+                yield batch(COUNTS, [[lang] * len(keys), [kind] * len(keys), tk.signed(keys), n])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Counts on the executors; the driver gets the counts of a bounded sample's words and n-grams."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-    part = share_under(known, F.col("id"), sample, known.count()).select("text", "lang")
-    counts = arrow_map(part, _counts, "lang string, word boolean, key long, n long").groupBy("lang", "word", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    """Counts on the executors; the driver gets the counts of a bounded sample's words and n-grams.
+
+    Words and n-grams that the sample has less than ``LEAST`` times in a language don't count for it;
+    a language all of whose are so rare is not learned. Null texts, languages and ids are passed over,
+    repeated rows count once. Frequencies are relative to the language's words, or n-grams of the same length.
+    """
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
+    part = share_under(known, F.col("id"), sample, known.count()).distinct().select("text", "lang")
+    counts = arrow_map(part, _counts, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
     got = counts.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
-    lang, word = np.searchsorted(np.array(langs, object), got.column("lang").to_numpy()) if langs else np.zeros(0, int), got.column("word").to_numpy()
+    lang, kind = np.searchsorted(np.array(langs, object), got.column("lang").to_numpy()) if langs else np.zeros(0, int), got.column("kind").to_numpy()
     key, n = got.column("key").to_numpy().view(tk.U), got.column("n").to_numpy()
-    out = []
-    for kind in (True, False):
-        at = word == kind
+
+    def logs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, row = np.unique(key[at], return_inverse=True)
         table_ = np.zeros((len(keys), len(langs)))
         np.add.at(table_, (row, lang[at]), n[at])
-        scores = np.log((table_ + SMOOTH) / (table_.sum(0) + SMOOTH * max(1, len(keys))))
-        out += [tk.Lookup(keys), np.ascontiguousarray(scores.T)]
-    return Model(langs, *out)
+        return keys, np.log((table_ + SMOOTH) / (table_.sum(0) + SMOOTH * max(1, len(keys))))
 
+    words, word_logs = logs(kind == 0)
+    grams = [logs(kind == k) for k in range(1, LONGEST + 1)]
+    return Model(langs, tk.Lookup(words), np.ascontiguousarray(word_logs.T), tk.Lookup(np.concatenate([k for k, _ in grams])), np.ascontiguousarray(np.concatenate([x for _, x in grams]).T))
 
-def scores(model: Model, texts: list[str]) -> np.ndarray:
-    """Summed log frequencies: a row for each text, a column for each language."""
+
+def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed log frequencies, a row for each text and a column for each language; and the share of each text's words that are known or have a known n-gram of ``CERTAIN`` characters or more."""
     b, s, e, doc = _block(texts)
-    total = np.zeros((len(texts), len(model.langs)))
+    total, known = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts))
     if not len(s) or not model.langs:
-        return total
+        return total, known
+    words = np.bincount(doc, minlength=len(texts))
     row = model.words(b.hashes(s, e) ^ WORD)
     hit = row >= 0
+    known += np.bincount(doc[hit], minlength=len(texts))
     for j in range(len(model.langs)):
         total[:, j] = np.bincount(doc[hit], model.word_scores[j][row[hit]], len(texts))
     s, e, doc = s[~hit], e[~hit], doc[~hit]
@@ -113,25 +121,29 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
         for j in range(len(model.langs)):
             own = np.bincount(word, model.gram_scores[j][row], len(s))[got] / found[got]
             total[:, j] += np.bincount(doc[got], own, len(texts))
+        if n >= CERTAIN:
+            known += np.bincount(doc[got], minlength=len(texts))
         s, e, doc = s[~got], e[~got], doc[~got]
-    return total
+    return total, known / np.maximum(words, 1)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` and lang_pred, score (or as named in ``out``). ``und`` with score 0: null text, no letter, or nothing learned.
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """``keep`` and lang_pred, score, known (or as named in ``out``). ``und`` with score 0: null text, no letter, or nothing learned.
 
+    known is the share of words that the learned languages account for.
     A text of letters none of which were seen gets the languages' uniform posterior.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("text__"))
-    schema = extended(rows.drop("text__").schema, f"`{out[0]}` string, `{out[1]}` double")
+    schema = extended(rows.drop("text__").schema, f"`{out[0]}` string, `{out[1]}` double, `{out[2]}` double")
 
     def run(it):
         m = sent.value
         for b in it:
-            texts, lang, score = b.column(len(keep)).to_pylist(), [], []
+            texts, lang, score, shares = b.column(len(keep)).to_pylist(), [], [], []
             for lo, hi, block in tk.blocks(texts):
-                total = scores(m, block.texts)
+                total, known = scores(m, block.texts)
+                shares += known.tolist()
                 if not m.langs:
                     lang, score = lang + ["und"] * (hi - lo), score + [0.0] * (hi - lo)
                     continue
@@ -142,7 +154,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                     any_letter = any(map(str.isalpha, t))
                     lang.append(m.langs[k] if any_letter else "und")
                     score.append(float(v) if any_letter else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *out])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.float64())], names=[*keep, *out])
 
     return arrow_map(rows, run, schema)
 
@@ -158,11 +170,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-#: The least posterior with which the pipeline's stage keeps a document.
-ACCEPT = 0.5
+#: The least posterior, and the least share of known words, with which the pipeline's stage keeps a document.
+ACCEPT, KNOWN = 0.5, 0.3
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that no learned language accounts for; adds no column."""
+    """Rejects documents without a letter (null and empty texts too) and those that no learned language accounts for; adds no column.
+
+    Repeated rows and null ids stay as they are. Without any labelled text nothing can be told, and all go.
+    """
     model = train(docs.filter(~in_fold("doc_id", PARTS, HELD)))
-    return predict(docs, model, docs.columns, out=("lang__", "score__")).filter((F.col("lang__") != "und") & (F.col("score__") >= ACCEPT)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score, known = (unused(docs, c) for c in ("lang_pred", "score", "known"))
+    found = predict(docs, model, docs.columns, out=(lang, score, known))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= ACCEPT) & (F.col(known) >= KNOWN)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,9 +2,11 @@
 
 1. Terms: words and word beginnings that are far more frequent in labelled toxic documents.
 2. Voters: lexicons of words, patterns of word beginnings, density patterns and absence rules;
-   each says toxic, clean or nothing about a document. The given labels are one voter more.
+   each says toxic, clean or nothing about a document.
 3. A generative label model (EM) estimates each voter's answers given the hidden class, and the
-   voters' correlations within a class; a voter counts less the more others repeat it.
+   correlations of the voters within a class: each answer depends on the class and, where they are
+   strongly tied, on one other voter, in the tree of the largest mutual information. The given labels choose the terms only;
+   they are no voter, and the first guess of the classes is the voters' own.
 4. A linear classifier is trained on the posterior labels and scores every whole text.
 
 Learned from at most ``SAMPLE`` labelled documents (chosen by a hash of the id); what the
@@ -25,7 +27,7 @@ from heliograph.llm.common import arrow_map, batch, extended, in_fold, share_und
 
 SAMPLE, TERMS, LEAST, GAIN = 20_000, 600, 4, 24.0
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-GROUPS, EXTRA = 12, 6
+GROUPS, EXTRA, AGREE, TIED = 12, 6, 3, 0.05
 WHOLE = np.uint64(0x51ED270B0B0B0B0B)
 
 
@@ -71,8 +73,8 @@ def pick_terms(counts: pa.Table, toxic: int, clean: int) -> Terms:
     gain = np.where((x >= LEAST) & (p > 10 * q), x * np.log(p / q), 0)
     gain[gain < GAIN] = 0
     order = np.lexsort((key, -gain))
-    parts = [[i for i in order[: 40 * TERMS] if gain[i] > 0 and whole[i] == kind][: TERMS // 2] for kind in (True, False)]
-    at = np.array(parts[0] + parts[1], int)
+    ordered = order[gain[order] > 0]
+    at = np.concatenate([ordered[whole[ordered] == kind][: TERMS // 2] for kind in (True, False)])
     return Terms(tk.Lookup(key[at]), whole[at], key[at])
 
 
@@ -109,41 +111,63 @@ def votes(terms: Terms, x: np.ndarray) -> np.ndarray:
 
 
 class LabelModel(NamedTuple):
+    """A voter's answers given the class, and given the class and the answer of the voter it depends on most."""
+
     prior: float
     answers: np.ndarray  # voter, class, answer (-1, 0, 1 at 0, 1, 2)
-    correlation: np.ndarray
-    weight: np.ndarray
-
-
-def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
-    """EM over voters' answers from a first guess of the posterior; also the posterior it ends with."""
-    post, n = np.clip(start.astype(float), 0.05, 0.95), v.shape[1]
-    model = None
+    joint: np.ndarray  # class, voter and answer, voter and answer
+    information: np.ndarray  # conditional mutual information of each two voters given the class
+    parent: np.ndarray  # -1: depends on the class alone
+
+
+def _tree(information: np.ndarray) -> np.ndarray:
+    """Parents in the spanning tree of the largest mutual information (Chow and Liu), without its weak edges.
+
+    Weakly dependent voters are left to the class: their dependence would explain away what they say of it.
+    """
+    n = len(information)
+    parent, source, best, done = np.full(n, -1), np.zeros(n, int), information[0].copy(), np.zeros(n, bool)
+    done[0] = True
+    for _ in range(n - 1):
+        j = int(np.argmax(np.where(done, -np.inf, best)))
+        parent[j], done[j] = source[j] if best[j] >= TIED else -1, True
+        closer = ~done & (information[j] > best)
+        source[closer], best[closer] = j, information[j][closer]
+    return parent
+
+
+def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[LabelModel, np.ndarray]:
+    """EM over voters' answers from a first guess of the posterior; also the posterior it ends with.
+
+    In each round the accuracies and the correlations within the classes are estimated anew, and a
+    voter's answer is explained by the class and by the voter that it depends on most: what
+    voters repeat counts once.
+    """
+    n, post, model = v.shape[1], np.clip(start.astype(float), 0.02, 0.98), None
+    one = (v[:, :, None] == np.array([-1, 0, 1])).reshape(len(v), 3 * n).astype(float)
     for _ in range(rounds):
         prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
-        answers = np.zeros((n, 2, 3))
+        answers, joint, information = np.zeros((n, 2, 3)), np.zeros((2, 3 * n, 3 * n)), np.zeros((n, n))
         for c, w in ((0, 1 - post), (1, post)):
-            for a in (-1, 0, 1):
-                answers[:, c, a + 1] = w @ (v == a) + 0.5
-        answers /= answers.sum(2, keepdims=True)
-        # correlations of the answers within the classes
-        centred = v - sum(np.outer(w, (w @ v) / max(w.sum(), 1e-9)) for w in (1 - post, post))
-        spread = np.sqrt((centred**2).mean(0)) + 1e-9
-        correlation = (centred.T @ centred) / len(v) / np.outer(spread, spread)
-        np.fill_diagonal(correlation, 1)
-        weight = 1 / np.maximum(correlation, 0).sum(1)
-        model = LabelModel(prior, answers, correlation, weight)
+            # as if each two voters had given each pair of answers a sixth of a time
+            total = w.sum() + 1.5
+            single, joint[c] = (w @ one + 0.5) / total, (one.T @ (w[:, None] * one) + 0.5 / 3) / total
+            answers[:, c] = single.reshape(n, 3)
+            information += (total / len(v)) * (joint[c] * np.log(joint[c] / np.outer(single, single))).reshape(n, 3, n, 3).sum((1, 3))
+        model = LabelModel(prior, answers, joint, information, _tree(information))
         now = posterior(model, v)
-        if np.abs(now - post).max() < 1e-6:
-            post = now
+        change, post = np.abs(now - post).max(), now
+        if change < 1e-6:
             break
-        post = now
     return model, post
 
 
 def posterior(m: LabelModel, v: np.ndarray) -> np.ndarray:
-    ratio = np.log(m.answers[:, 1] / m.answers[:, 0])
-    total = np.log(m.prior / (1 - m.prior)) + (ratio[np.arange(v.shape[1]), v + 1] * m.weight).sum(1)
+    a, total = v + 1, np.full(len(v), np.log(m.prior / (1 - m.prior)))
+    for j, p in enumerate(m.parent):
+        for c, sign in ((0, -1), (1, 1)):
+            given = m.answers[j, c][a[:, j]] if p < 0 else m.joint[c][3 * p + a[:, p], 3 * j + a[:, j]] / m.answers[p, c][a[:, p]]
+            total += sign * np.log(given)
     return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
@@ -182,7 +206,12 @@ def without_copies(part: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """From labels (doc_id, toxic) and documents (doc_id, text); None if a class is missing."""
+    """From labels (doc_id, toxic) and documents (doc_id, text); None if a class is missing.
+
+    Null labels and ids are passed over, null texts are empty, a document with several labels has
+    their maximum, exact copies with one label count once; other columns are ignored. Ties among terms go
+    by their hash, and the result doesn't depend on the order of rows.
+    """
     part = labelled_texts(docs, labels, "toxic", sample)
     sizes = {r["label"]: r["count"] for r in part.groupBy("label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -198,18 +227,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         for b in it:
             texts = b.column(0).to_pylist()
             x = np.concatenate([features(terms, k.texts) for _, _, k in tk.blocks(texts)] or [np.zeros((0, n))]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], names=["x", "label"])
-
-    got = arrow_map(part, described, "x binary, label int").toArrow()
-    y = got.column("label").to_numpy().astype(float)
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), n).astype(float)
-    ballots = np.concatenate([votes(terms, x), y[:, None].astype(int)], 1)
-    labels_, post = label_model(ballots, y)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+
+    got = arrow_map(part, described, "x binary").toArrow()
+    # in one order, whatever the order of rows
+    x = np.frombuffer(b"".join(sorted(got.column("x").to_pylist())), np.float32).reshape(got.num_rows, n).astype(float)
+    ballots = votes(terms, x)
+    # the first guess is the voters' own: some of them say toxic
+    labels_, post = label_model(ballots, (ballots == 1).sum(1) >= AGREE)
     return Model(terms, logistic(x, post), labels_)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` and score, of every whole text (null: empty). 0 for all if there is no model."""
+    """``keep`` and score, of every whole text (null: empty), repeated rows and null ids included. 0 for all if there is no model; an empty table gives none."""
     kept = [F.col(f"`{c}`") for c in keep]
     if model is None:
         return docs.select(*kept, F.lit(0.0).alias("score"))

@@ -5,8 +5,8 @@ url a log-likelihood difference; it is divided by the url's length and calibrate
 probability on labelled urls that the models have not seen. Smoothing interpolates each order
 with the next shorter one by the number of different continuations (Witten and Bell).
 
-In the query the rules label the urls. At most ``SAMPLE`` labelled urls are learned from,
-chosen by a hash of the url.
+In the query the rules label the urls. All labelled urls are learned from; at most ``SAMPLE`` of
+those held back, chosen by a hash of the url, calibrate the probability.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from heliograph.llm import textkit as tk
 from heliograph.llm.common import arrow_map, batch, extended, share_under, table
 
-SAMPLE, ORDER, FOLDS = 20_000, 5, 5
+SAMPLE, ORDER, FOLDS, LEAST = 4_000, 5, 5, 3
 
 
 class Rule(NamedTuple):
@@ -56,7 +56,7 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return pick(lambda r: r.text), pick(lambda r: r.verdict)
 
 
-COUNTS = pa.schema([("label", pa.int32()), ("context", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("label", pa.int32()), ("order", pa.int32()), ("context", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 EMPTY = 0x5DEECE66D
 
 
@@ -76,12 +76,9 @@ def _counts(it):
         labels, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
         for label in (0, 1):
             own = [t for t, x in zip(texts, labels, strict=True) if x == label]
-            if not own:
-                continue
-            pairs = [(c, g) for _, _, c, g in _grams(own)]
-            c, g = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            grams, first, n = np.unique(g, return_index=True, return_counts=True)
-            yield batch(COUNTS, [np.full(len(grams), label, np.int32), tk.signed(c[first]), tk.signed(grams), n])
+            for order, (_, _, c, g) in enumerate(_grams(own) if own else ()):
+                grams, first, n = np.unique(g, return_index=True, return_counts=True)
+                yield batch(COUNTS, [np.full(len(grams), label, np.int32), np.full(len(grams), order, np.int32), tk.signed(c[first]), tk.signed(grams), n])
 
 
 class Model(NamedTuple):
@@ -118,24 +115,28 @@ def difference(m: Model, texts: list[str]) -> np.ndarray:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """From (label int: 1 accepted, 0 rejected; url string). None if a class has no url."""
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return None
-    part = share_under(labelled, F.col("url"), sample, sum(sizes.values()))
+    """From (label int: 1 accepted, 0 rejected; url string). None if a class has no url.
+
+    Each labelled url counts once, however many rows it has. N-grams are counted on the executors over
+    all of them; those of two characters or more that fewer than ``LEAST`` urls' places have are pruned, as they
+    say no more than their shorter contexts. At most ``sample`` urls calibrate the probability.
+    """
+    urls_ = labelled.filter("label is not null").groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.min("label").alias("label"))
     later = F.pmod(F.xxhash64("url", F.lit("calibration")), F.lit(FOLDS)) == 0
-    got = arrow_map(part.filter(~later).select("label", "url"), _counts, "label int, context long, gram long, n long").groupBy("label", "context", "gram").agg(F.sum("n").alias("n")).toArrow()
-    if not got.num_rows:
+    counts = arrow_map(urls_.filter(~later).select("label", "url"), _counts, "label int, order int, context long, gram long, n long").groupBy("label", "order", "context", "gram").agg(F.sum("n").alias("n"))
+    got = counts.filter((F.col("order") == 0) | (F.col("n") >= LEAST)).select("label", "context", "gram", "n").toArrow()
+    if len(set(got.column("label").to_pylist())) < 2:
         return None
-    label, n = got.column("label").to_numpy(), got.column("n").to_numpy().astype(float)
+    label, n = got.column("label").to_numpy(), got.column("n").to_numpy().astype(np.float32)
     grams, g = np.unique(got.column("gram").to_numpy().view(tk.U), return_inverse=True)
     contexts, c = np.unique(got.column("context").to_numpy().view(tk.U), return_inverse=True)
-    counts, totals, kinds = np.zeros((2, len(grams))), np.zeros((2, len(contexts))), np.zeros((2, len(contexts)))
+    counts, totals, kinds = np.zeros((2, len(grams)), np.float32), np.zeros((2, len(contexts)), np.float32), np.zeros((2, len(contexts)), np.float32)
     np.add.at(counts, (label, g), n)
     np.add.at(totals, (label, c), n)
     np.add.at(kinds, (label, c), 1)
     model = Model(tk.Lookup(grams), counts, tk.Lookup(contexts), totals, kinds, 256)
-    rows = part.filter(later).select("label", "url").toArrow()
+    held = urls_.filter(later)
+    rows = share_under(held, F.col("url"), sample, held.count()).select("label", "url").orderBy("url").toArrow()
     y, x = rows.column("label").to_numpy().astype(float), difference(model, rows.column("url").to_pylist())
     return model._replace(**_platt(x, y))
 

@@ -42,7 +42,7 @@ def odd_documents(spark):
 
 def test_language_edge_cases(spark):
     docs = odd_documents(spark)
-    many = docs.unionByName(docs)
+    many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100))
     model = langid.train(many)
     out = langid.predict(docs, model, ["doc_id"]).collect()
     by = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out}
@@ -88,13 +88,89 @@ def test_scores_without_labels_and_odd_texts(spark, module, column):
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
-    votes = [np.where(rng.random(4000) < a, y, ~y).astype(int) for a in (0.9, 0.8, 0.7)]
-    votes += [votes[2].copy(), np.full(4000, -1)]
-    model, post = toxicity.label_model(np.stack(votes, 1), np.clip(votes[0] * 0.6 + 0.2, 0, 1))
-    accuracy = [(model.answers[j, 1, 2] + model.answers[j, 0, 1]) / 2 for j in range(3)]
-    assert accuracy[0] > accuracy[1] > accuracy[2] > 0.6
-    assert model.correlation[2, 3] > 0.95 and model.weight[2] < model.weight[0]
-    assert ((post > 0.5) == y).mean() > 0.88
+    votes = [np.where(rng.random(4000) < a, y, ~y).astype(int) for a in (0.9, 0.85, 0.8, 0.7)]
+    votes += [votes[3].copy(), np.full(4000, -1)]
+    v = np.stack(votes, 1)
+    model, post = toxicity.label_model(v, (v == 1).sum(1) >= 3)
+    accuracy = [(model.answers[j, 1, 2] + model.answers[j, 0, 1]) / 2 for j in range(4)]
+    assert accuracy[0] > accuracy[1] > accuracy[2] > accuracy[3] > 0.6
+    # copies depend on each other, independent voters hardly do
+    assert model.information[3, 4] > 20 * model.information[0, 1] and (3, 4) in {tuple(sorted((j, int(p)))) for j, p in enumerate(model.parent)}
+    assert ((post > 0.5) == y).mean() > 0.92
+    # the exact posterior of four independent voters
+    odds = np.log(0.3 / 0.7) + sum(np.where(x == 1, 1, -1) * np.log(a / (1 - a)) for x, a in zip(votes[:4], (0.9, 0.85, 0.8, 0.7), strict=True))
+    assert ((post > 0.5) == (odds > 0)).mean() > 0.97
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, (300, 4))
+    model, post = toxicity.label_model(v, rng.random(300), rounds=3)
+    want = []
+    for row in v[:50]:
+        both = []
+        for c, prior in ((0, 1 - model.prior), (1, model.prior)):
+            p = prior
+            for j, parent in enumerate(model.parent):
+                joint = model.joint[c][:, 3 * j + row[j] + 1]
+                p *= model.answers[j, c, row[j] + 1] if parent < 0 else joint[3 * parent + row[parent] + 1] / model.answers[parent, c, row[parent] + 1]
+            both.append(p)
+        want.append(both[1] / sum(both))
+    assert np.allclose(toxicity.posterior(model, v[:50]), want)
+    # without a bound on weak edges the tree has the largest sum of all spanning trees
+    import unittest.mock
+
+    with unittest.mock.patch.object(toxicity, "TIED", 0):
+        parent = toxicity._tree(model.information)
+    import itertools
+
+    edges = list(itertools.combinations(range(4), 2))
+    weight = lambda es: sum(model.information[a, b] for a, b in es)
+
+    def spans(es):
+        root = list(range(4))
+        for a, b in es:
+            root = [root[a] if r == root[b] else r for r in root]
+        return len(set(root)) == 1
+
+    best = max(weight(es) for es in itertools.combinations(edges, 3) if spans(es))
+    assert abs(weight([(j, p) for j, p in enumerate(parent) if p >= 0]) - best) < 1e-12
+
+
+def test_language_scores_against_a_loop(spark):
+    texts = [("the cat and the dog and the cat", "en"), ("der hund und die katze und der hund", "de"), ("the dog", "en"), ("die katze", "de")]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    grams = lambda w, n: [w] if n == 0 else [x[i : i + n] for x in [f" {w} " if n > 1 else w] for i in range(len(x) - n + 1)]
+    count = {(g, n): {} for g in ("de", "en") for n in range(6)}
+    for t, g in texts:
+        for w in t.split():
+            for n in range(6):
+                for x in grams(w, n):
+                    count[g, n][x] = count[g, n].get(x, 0) + 1
+    kept = {k: {x: c for x, c in v.items() if c >= langid.LEAST} for k, v in count.items()}
+    keys = [set(kept["de", n]) | set(kept["en", n]) for n in range(6)]
+    log = lambda g, n, x: np.log((kept[g, n].get(x, 0) + 0.5) / (sum(kept[g, n].values()) + 0.5 * max(1, len(keys[n]))))
+    for text in ("the cat", "dogs und unter", "zzz hundert", "q"):
+        want, known = np.zeros(2), 0
+        for w in text.split():
+            for n in (0, 5, 4, 3, 2, 1):
+                hits = [x for x in grams(w, n) if x in keys[n]]
+                if hits:
+                    want += [np.mean([log(g, n, x) for x in hits]) for g in ("de", "en")]
+                    known += n == 0 or n >= langid.CERTAIN
+                    break
+        total, share = langid.scores(model, [text])
+        assert np.allclose(total[0], want) and share[0] == pytest.approx(known / len(text.split()))
+
+
+def test_the_stage_rejects_unknown_languages(spark):
+    rows = [(i, "the cat and the dog in the house of the king " * 2, "en") for i in range(8)] + [(20 + i, "der hund und die katze im haus des königs", "de") for i in range(8)]
+    odd = [(90, "xqzj vvkw qqpf zzxk wkkj", None), (91, "漢字 仮名 漢字", None), (92, "12 34", "en"), (93, None, "en"), (94, "", "en"), (None, "the king and the dog", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "Known": F.lit(1), "lang_pred": F.lit(None).cast("string")})
+    out = langid.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([i for i, *_ in rows] + [None], key=str)
 
 
 def test_bradley_terry_ranks_by_preference():
@@ -137,7 +213,37 @@ def test_markov_models_tell_urls_apart(spark):
     model = urls.train(spark.createDataFrame(rows, "label int, url string"))
     d = urls.difference(model, [make("lib", 7), make("win", 7), ""])
     assert d[0] > 0 > d[1] and model.slope > 0
-    # probabilities of all characters after a context sum to at most one
-    t = "https://lib1.example/"
-    p = [np.exp(urls.difference(model, [t]))]
-    assert np.isfinite(p).all()
+
+
+def test_markov_models_against_a_loop(spark):
+    """Each url's score from counts by hand; probabilities after a context sum to at most one."""
+    rng = np.random.default_rng(6)
+    rows = [(k, f"http://{'ab'[k]}{rng.integers(4)}.x/{'pq'[k] * int(rng.integers(1, 4))}{rng.integers(30)}") for _ in range(120) for k in (0, 1)]
+    rows += [(1, rows[1][1])] * 500
+    model = urls.train(spark.createDataFrame(rows, "label int, url string"))
+    pruned = {0: {}, 1: {}}
+    distinct = {u: k for k, u in rows}
+    held = {r["url"] for r in spark.createDataFrame([(u,) for u in distinct], "url string").filter(F.pmod(F.xxhash64("url", F.lit("calibration")), F.lit(urls.FOLDS)) == 0).collect()}
+    for u, k in distinct.items():
+        if u not in held:
+            t = f"\x02{u}\x03"
+            for i in range(1, len(t)):
+                for n in range(min(i, urls.ORDER) + 1):
+                    pruned[k][t[i - n : i], t[i]] = pruned[k].get((t[i - n : i], t[i]), 0) + 1
+    pruned = {k: {x: c for x, c in v.items() if not x[0] or c >= urls.LEAST} for k, v in pruned.items()}
+
+    def probability(k, context, char):
+        p = 1 / 256
+        for n in range(len(context) + 1):
+            own = {x[1]: c for x, c in pruned[k].items() if x[0] == context[len(context) - n :]}
+            if own:
+                p = (own.get(char, 0) + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    for u in (rows[0][1], rows[1][1], "http://c9.y/", ""):
+        t = f"\x02{u}\x03"
+        logs = [np.log(probability(1, t[max(0, i - urls.ORDER) : i], t[i])) - np.log(probability(0, t[max(0, i - urls.ORDER) : i], t[i])) for i in range(1, len(t))]
+        assert urls.difference(model, [u])[0] == pytest.approx(np.mean(logs), abs=1e-5)
+    chars = sorted({c for u in distinct for c in u} | {"\x03"})
+    for context in ("", "\x02http", "x/pp", "zz"):
+        assert sum(probability(1, context, c) for c in chars) <= 1 + 1e-9
