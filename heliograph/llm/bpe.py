@@ -172,7 +172,8 @@ def encode_column(df: DataFrame, text_col: str = "text", path: str | None = None
         for b in it:
             texts = b.column(names.index(text_col)).to_pylist()
             ids = [enc.encode(t or "") for t in texts]
-            cols = [*b.columns, pa.array([memoryview(i).cast("I").tolist() for i in ids], pa.list_(pa.int32()))]
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+            cols = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
             if decoded_col:
                 cols.append(pa.array([enc.decode(i) for i in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, out_col, *([decoded_col] if decoded_col else [])])

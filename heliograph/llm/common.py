@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from heliograph.llm import textkit
 
 #: Rows and bytes of one Arrow batch: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
 
 _roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -127,6 +127,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
             conf.set(key, str(most))
 
     def run(it):
+        # what is freed goes back to the system, not to a pool of the worker's
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from fn(it)
         finally:

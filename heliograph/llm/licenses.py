@@ -157,9 +157,10 @@ def scan(files: DataFrame) -> DataFrame:
     # one row a term of the templates; the empty term counts the documents
     df = shelf.put("df", df)
     n = df.filter("term = ''").select(F.col("df").alias("n"))
-    terms = spark.createDataFrame([(t,) for t in vocabulary], "term string").join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))).alias("idf"), "n")
+    terms = spark.range(1).select(F.explode(F.array(*map(F.lit, vocabulary))).alias("term")).join(df, "term", "left").crossJoin(F.broadcast(n)).select("term", F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))).alias("idf"), "n")
     terms = shelf.put("terms", terms)
-    lines_of = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "k int, license string, line string")
+    rows = [F.struct(F.lit(k).alias("k"), F.lit(name).alias("license"), F.lit(text).alias("line")) for k, (name, text) in enumerate(TEMPLATES)]
+    lines_of = spark.range(1).select(F.inline(F.array(*rows)))
     weights = lines_of.select("k", "license", F.explode(_terms(F.col("line"))).alias("term")).groupBy("k", "license", "term").count().join(F.broadcast(terms), "term").select("k", "license", "term", (F.col("count") * F.col("idf")).alias("tw"))
     norms = weights.groupBy("k").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     weights = shelf.put("weights", weights.join(F.broadcast(norms), "k").filter("tn > 0"))

@@ -146,7 +146,9 @@ def matched(made: DataFrame, shelf: Shelf, name: str) -> DataFrame:
     rows = got.filter("edge < 2")
     if not bounds:
         return rows.filter("doc <> of_doc").select("doc", "pos", "of_doc", "of_pos", "h")
-    begun = made.sparkSession.createDataFrame(bounds, "part int, h long, b_doc long, b_pos int")
+    # as an Arrow table: plain rows would start Python workers of another kind beside the ones there are
+    kinds = pa.schema([("part", pa.int32()), ("h", pa.int64()), ("b_doc", pa.int64()), ("b_pos", pa.int32())])
+    begun = made.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*bounds, strict=True), kinds, strict=True)], schema=kinds))
     joined = rows.join(F.broadcast(begun), ["part", "h"], "left")
     return joined.select("doc", "pos", F.coalesce("b_doc", "of_doc").alias("of_doc"), F.coalesce("b_pos", "of_pos").alias("of_pos"), "h").filter("doc <> of_doc")
 
