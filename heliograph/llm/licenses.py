@@ -8,9 +8,11 @@ window's. A document that as a whole is like a template, or has a licence and is
 file, sets its directory's licence; a document without its own licence inherits from the nearest
 directory above it that has one.
 
-Only windows that can reach the threshold are looked at: of a template's terms the lightest, whose
-weights together have less than ``COSINE`` of its length, can't bring a cosine to ``COSINE``; a window needs
-one of the others. The bound follows from the cosine and loses nothing.
+Only windows that can reach the threshold are looked at. Of a template's terms the lightest, whose
+weights together have less than ``LIGHT`` of its length, bring a cosine to less than that; the others,
+the heavy ones, must bring ``COSINE - LIGHT``, so their share of the window's length is as large. The
+length is at least the root of the number of the window's words that no template has, times their
+weight; the heavy words' is at most the sum of their weights, which classes bound. This loses nothing.
 
 Texts of the GPL, LGPL, AGPL, MPL and Apache licences are too long to be templates here: such files
 are known by their titles and notices, or by their names.
@@ -20,6 +22,8 @@ Everything is DataFrame operations. Broadcast are only tables made from ``TEMPLA
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +102,9 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Unlicense", _UNLICENSE),
 ]
-COSINE, LINES = 0.6, 3
+COSINE, LIGHT, LINES = 0.6, 0.3, 3
+#: Bounds of the classes of weights; a term of the templates weighs no more than an unknown word.
+CLASSES = (0.1, 0.2, 0.3, 0.45, 0.6, 0.8, 1.0)
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.\-][^/]*)?$"
 TERM = "[a-z0-9]+"
 
@@ -113,31 +119,43 @@ def _vocabulary() -> list[str]:
     return sorted({t for _, text in TEMPLATES for t in re.findall(TERM, text.lower())})
 
 
-def _needed(weights: DataFrame) -> list[str]:
-    """The terms of which a window needs one: those of each template but the lightest, which together stay below ``COSINE`` of its length.
+def _heavy(weights: DataFrame, terms: DataFrame) -> dict[float, list[str]]:
+    """Each template's terms but the lightest, which together stay below ``LIGHT`` of its length, by classes of weight: at most as many as the templates have terms.
 
-    At most as many as the templates have terms.
+    A class is named by the largest weight in it, as a share of an unknown word's.
     """
-    lightest = F.transform(F.array_sort(F.collect_list(F.struct("tw", "term"))), lambda x: x)
     below = F.aggregate(
         "all",
         F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct((s["sum"] + x["tw"] * x["tw"]).alias("sum"), F.when(s["sum"] + x["tw"] * x["tw"] < ((COSINE - 1e-5) * F.col("tn")) ** 2, s["out"]).otherwise(F.concat(s["out"], F.array(x["term"]))).alias("out")),
+        lambda s, x: F.struct((s["sum"] + x["tw"] * x["tw"]).alias("sum"), F.when(s["sum"] + x["tw"] * x["tw"] < (LIGHT * F.col("tn")) ** 2, s["out"]).otherwise(F.concat(s["out"], F.array(x["term"]))).alias("out")),
     )["out"]
-    return sorted(r["term"] for r in weights.groupBy("k", "tn").agg(lightest.alias("all")).select(F.explode(below).alias("term")).distinct().collect())
+    lists = weights.groupBy("k", "tn").agg(F.array_sort(F.collect_list(F.struct("tw", "term"))).alias("all"))
+    found = lists.select(F.explode(below).alias("term")).distinct().join(F.broadcast(terms), "term")
+    out: dict[float, list[str]] = {}
+    for r in found.select("term", (F.col("idf") / F.log(1 + F.col("n"))).alias("share")).orderBy("term").collect():
+        out.setdefault(next(c for c in CLASSES if r["share"] <= c or c == 1.0), []).append(r["term"])
+    return out
+
+
+def _windows() -> Column:
+    """Structs (at, size, terms) of the windows of a text's lines (lines, heavy, other: terms, bound of the heavy words' weights and number of unknown words) that can reach the threshold; size 0 is the whole text."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    # a little below the bound, as cosines are rounded
+    fits = lambda heavy, other: (total(heavy) > 0) & (total(heavy) >= (COSINE - 1e-5 - LIGHT) * F.sqrt(total(other)))
+    whole = F.when(fits(F.col("heavy"), F.col("other")), F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.flatten("lines").alias("terms"))))
+    whole = F.coalesce(whole, F.array().cast("array<struct<at:int,size:int,terms:array<string>>>"))
 
+    def of(n: int) -> Column:
+        starts = F.when(F.size("lines") >= n, F.sequence(F.lit(1), F.size("lines") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        some = F.filter(starts, lambda i: fits(F.slice("heavy", i, n), F.slice("other", i, n)))
+        return F.transform(some, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.flatten(F.slice("lines", i, n)).alias("terms")))
 
-def _windows(text: Column, needed: list[str]) -> Column:
-    """Structs (at, size, terms) of a text's windows with one of the needed terms; size 0 is the whole text."""
-    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.regexp_extract_all(x, F.lit(TERM), F.lit(0)))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.flatten(lines).alias("terms")))
+    return F.concat(whole, *[of(n) for n in range(1, LINES + 1)])
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(lines) >= n, F.sequence(F.lit(1), F.size(lines) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.flatten(F.slice(lines, i, n)).alias("terms")))
 
-    have = F.array(*map(F.lit, needed)) if needed else F.array().cast("array<string>")
-    return F.filter(F.concat(whole, *[of(n) for n in range(1, LINES + 1)]), lambda w: F.arrays_overlap(w["terms"], have))
+def _repeats(files: DataFrame) -> bool:
+    """Whether an id has several rows; their texts are then moved once, so that no window counts twice."""
+    return not files.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -165,10 +183,20 @@ def scan(files: DataFrame) -> DataFrame:
     norms = weights.groupBy("k").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     weights = shelf.put("weights", weights.join(F.broadcast(norms), "k").filter("tn > 0"))
 
-    some = files.filter("doc_id is not null").select("doc_id", F.explode(_windows(F.col("text"), _needed(weights))).alias("w"))
-    windows = some.select("doc_id", F.col("w.at").alias("at"), F.col("w.size").alias("size"), F.col("w.terms").alias("terms")).distinct()
-    # a term's count is taken in its window's row, so what is moved has a row for each different term
-    tf = windows.select("doc_id", "at", "size", F.explode(_counted(F.col("terms"))).alias("t")).select("doc_id", "at", "size", "t.term", "t.tf")
+    classes = _heavy(weights, terms)
+    heavy = sorted(t for c in classes.values() for t in c)
+    have = F.array(*map(F.lit, heavy)) if heavy else F.array().cast("array<string>")
+    own = files.filter("doc_id is not null")
+    own = own.groupBy("doc_id", "text").count().drop("count") if _repeats(own) else own
+    # terms of lines once, of texts with a heavy term only, and written: what follows refers to them many times
+    split = shelf.put("lines", own.filter(F.arrays_overlap(_terms(F.col("text")), have)).select("doc_id", F.transform(F.split("text", "\n"), _terms).alias("lines")))
+    among = lambda c: lambda t: t.isin(c)
+    weigh = lambda x: reduce(Column.__add__, [F.size(F.filter(x, among(c))) * F.lit(share) for share, c in sorted(classes.items())], F.lit(0.0))
+    other = lambda x: F.size(F.filter(x, lambda t: ~t.isin(vocabulary))).cast("double")
+    numbered = shelf.put("numbered", split.select("doc_id", "lines", F.transform("lines", weigh).alias("heavy"), F.transform("lines", other).alias("other")))
+    windows = numbered.select("doc_id", F.explode(_windows()).alias("w")).select("doc_id", "w.at", "w.size", "w.terms")
+    # counted before the shuffle, as a window is in one task
+    tf = windows.select("doc_id", "at", "size", F.explode("terms").alias("term")).groupBy("doc_id", "at", "size", "term").agg(F.count("*").alias("tf"))
     unknown = F.log(1 + F.col("all_n"))
     count_ = terms.agg(F.max("n").alias("all_n"))
     weighted = tf.join(F.broadcast(terms.select("term", "idf")), "term", "left").crossJoin(F.broadcast(count_)).select("doc_id", "at", "size", "term", (F.col("tf") * F.coalesce("idf", unknown)).alias("w"))
@@ -180,7 +208,7 @@ def scan(files: DataFrame) -> DataFrame:
     own = best.groupBy("doc_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.min(F.when(F.col("size") == 0, F.struct((-F.col("cosine")).alias("c"), "license"))).alias("whole"))
     own = own.withColumn("b", F.coalesce("whole", "b"))
     own = shelf.put("own", own.select("doc_id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.col("whole").isNotNull().alias("mostly")))
-    shelf.drop("weighted")
+    shelf.drop("weighted", "lines", "numbered")
 
     places = files.select("doc_id", "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")).alias("dir"))
     marked = places.join(own, "doc_id", "left").withColumn("is_file", F.col("license").isNotNull() & (F.coalesce("mostly", F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))))
@@ -196,14 +224,6 @@ def scan(files: DataFrame) -> DataFrame:
     return out.select("doc_id", "path", F.coalesce("license", "f.license").alias("license"), how.alias("how"), F.coalesce("cosine", -F.col("f.c")).alias("cosine"), F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("f.path")).alias("from_path"))
 
 
-def _counted(terms: Column) -> Column:
-    """Structs (term, tf) of an array of terms: runs in the sorted array, so that no term is looked for among all."""
-    ordered = F.array_sort(terms)
-    firsts = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    ends = F.concat(F.slice(firsts, F.lit(2), F.size(firsts)), F.array(F.size(ordered) + 1))
-    return F.zip_with(firsts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
-
-
 def with_paths(docs: DataFrame) -> DataFrame:
     """Documents as files: source/lang/doc_id.txt."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
