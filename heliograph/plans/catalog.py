@@ -689,3 +689,82 @@ def semi_anti_orders(spark, d):
 def intersect_except(spark, d):
     both = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).intersect(read(spark, d, "supplier").select("s_suppkey"))
     return both.exceptAll(read(spark, d, "part").filter("p_partkey % 2 = 0").select("p_partkey"))
+
+
+# --- evaluation over real searches, file events, small operators -------------------------------
+S_GOLD = "g AS (SELECT DISTINCT item_id AS qid, 'src' || (item_id % 4) AS session FROM benchmark), r AS (SELECT g.qid, 1 AS gold_total, coalesce(list(b.position ORDER BY b.position) FILTER (WHERE b.position IS NOT NULL), []) AS ranks FROM g LEFT JOIN best b ON b.qid = g.qid AND b.grp = g.session GROUP BY g.qid)"
+
+
+@query(ORACLE_SQL["batch_recall"].replace("SELECT qid, position, id, grp, score FROM best", "") + f", {S_GOLD} SELECT {S_METRICS} FROM r")
+def eval_recall(spark, d):
+    """Metrics of a real recall of all benchmark texts, a source being what is expected."""
+    ranking = batch_recall(spark, d).select("qid", "position", F.col("grp").alias("session"))
+    gold = bench(spark, d).select("qid", F.concat(F.lit("src"), (F.col("qid") % 4).cast("string")).alias("session"))
+    return metrics.evaluate(evaluate.gold_ranks(ranking, gold))
+
+
+S_ASKED = "z AS (SELECT id AS qid, emb_q8 AS q8, CASE WHEN id % 200 = 0 THEN 'https://www.' END AS path_prefix FROM vec WHERE id % 100 = 0)"
+S_PATHS = "k AS (SELECT qid, path, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, path ORDER BY score DESC, id) AS nth FROM h) WHERE nth <= 2) SELECT qid, path, position FROM (SELECT qid, path, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM k) WHERE position <= 20"
+
+
+def asked(spark, d) -> DataFrame:
+    v = vectors(spark, d).filter("id % 100 = 0")
+    return v.select(F.col("id").alias("qid"), F.lit(CODE_TEXT).alias("text"), F.col("emb_q8").alias("q8"), F.when(F.col("id") % 200 == 0, "https://www.").alias("path_prefix"))
+
+
+@query(f"WITH {S_VEC}, {S_PAGES}, {S_ASKED}, dots AS (SELECT z.qid, v.id, " + S_DOT.format(a="v.emb_q8", b="z.q8") + f"::BIGINT AS score FROM vec v, z), {s_top('dots', 'pool', 200)}, h AS (SELECT p.qid, p.id, p.score, c.path FROM pool p JOIN chunks c USING (id) JOIN z USING (qid) WHERE path_prefix IS NULL OR starts_with(path, path_prefix)), {S_PATHS}")
+def int8_paths(spark, d):
+    return evaluate.int8_paths(pages(spark, d), vectors(spark, d), asked(spark, d))
+
+
+@query(
+    f"WITH {S_VEC}, {S_PAGES}, {S_ASKED}, paths AS (SELECT *, path AS path_text FROM chunks), q AS (SELECT qid, '{CODE_TEXT}' AS text FROM z), {s_bm25('paths', 'q', ('body', 'qualified', 'path_text'), s_code)}, "
+    + f"inside AS (SELECT b.* FROM bm b JOIN z USING (qid) JOIN chunks c USING (id) WHERE path_prefix IS NULL OR starts_with(path, path_prefix)), {s_top('inside', 'bm_top', 50)}, dots AS (SELECT z.qid, v.id, "
+    + S_DOT.format(a="v.emb_q8", b="z.q8")
+    + f"::BIGINT AS score FROM vec v, z), {s_top('dots', 'vec_top', 50)}, {s_fuse('bm_top', 'vec_top')}, h AS (SELECT f.qid, f.id, path, round(score + 0.02::DOUBLE * len(list_filter({s_path(repr(CODE_TEXT))}, lambda t: list_contains({s_path('path')}, t))), 9) AS score FROM fused f JOIN chunks USING (id) JOIN z USING (qid) WHERE path_prefix IS NULL OR starts_with(path, path_prefix)), {S_PATHS}"
+)
+def int8_hybrid_paths(spark, d):
+    return evaluate.int8_hybrid_paths(pages(spark, d), vectors(spark, d), asked(spark, d), index_of(spark, d, "pages"))
+
+
+S_SYNTAX = s_tokens("body")
+
+
+@query(f"WITH {S_OBS}, q AS (SELECT 0::BIGINT AS qid, 'the und' AS text), {s_bm25()}, kept AS (SELECT bm.* FROM bm JOIN obs USING (id) WHERE list_contains({S_SYNTAX}, 'the') AND NOT list_contains({S_SYNTAX}, 'of')), {s_top('kept', 't', 50)} SELECT qid, id, score, rank FROM t")
+def syntax_search(spark, d):
+    from heliograph.plans.syntax import search
+
+    return search(obs(spark, d), "+the und -of", 50).withColumn("qid", F.col("qid").cast("long"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
+def last_errors(spark, d):
+    return metrics.last_errors(events(spark, d), 8, ("sec", "ts", "event_id")).select("event_id", "event_type")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'create' WHEN 1 THEN 'modify' WHEN 2 THEN 'remove' WHEN 3 THEN 'access' ELSE 'other' END AS kind FROM part")
+def event_kinds(spark, d):
+    names = F.array(*map(F.lit, ["Create(File)", "Modify(Data(Any))", "REMOVE", "Access", "Any", ""]))
+    return read(spark, d, "part").select("p_partkey", T.coarse_kind(F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("kind"))
+
+
+@query("SELECT '/p/' || page_id AS path, CASE WHEN page_id % 7 = 0 THEN 'create' WHEN page_id % 5 = 0 THEN 'remove' ELSE 'modify' END AS kind FROM pages WHERE page_id % 7 = 0 AND page_id % 5 <> 0 OR page_id % 5 = 0 AND page_id % 7 <> 0 OR page_id % 3 = 0 AND page_id % 35 <> 0")
+def file_events(spark, d):
+    from heliograph.sources.readers import file_events as changes
+
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path"), F.col("page_id").alias("mtime_us"), F.length("html").alias("size"))
+    before = p.filter("page_id % 7 <> 0").select("path", "mtime_us", "size")
+    after = p.filter("page_id % 5 <> 0").select("path", (F.col("mtime_us") + F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)).alias("mtime_us"), "size")
+    return changes(before, after, 5).select("path", "kind")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 127::FLOAT) AS TINYINT)), ',') AS q8 FROM embeddings")
+def legacy_vectors(spark, d):
+    from heliograph.functions.vectors import from_bytes, legacy_i8, to_bytes
+
+    return read(spark, d, "embeddings").select("vec_id", F.concat_ws(",", legacy_i8(from_bytes(to_bytes(F.col("embedding")))).cast("array<string>")).alias("q8"))
+
+
+@query("SELECT bucket, count(*) AS calls, sum(n)::BIGINT AS chunks, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS call_share, round(sum(n)::DOUBLE / sum(sum(n)) OVER (), 6) AS chunk_share FROM (SELECT n, CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 8 THEN '5-8' ELSE '9-16' END AS bucket FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)) GROUP BY bucket")
+def call_sizes(spark, d):
+    return sweeps.call_sizes(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("path")))
