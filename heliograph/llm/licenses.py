@@ -188,12 +188,13 @@ def scan(files: DataFrame) -> DataFrame:
     have = F.array(*map(F.lit, heavy)) if heavy else F.array().cast("array<string>")
     own = files.filter("doc_id is not null")
     own = own.groupBy("doc_id", "text").count().drop("count") if _repeats(own) else own
-    # terms of lines once, of texts with a heavy term only, and written: what follows refers to them many times
-    split = shelf.put("lines", own.filter(F.arrays_overlap(_terms(F.col("text")), have)).select("doc_id", F.transform(F.split("text", "\n"), _terms).alias("lines")))
+    lines = F.transform(F.split("text", "\n"), _terms)
     among = lambda c: lambda t: t.isin(c)
     weigh = lambda x: reduce(Column.__add__, [F.size(F.filter(x, among(c))) * F.lit(share) for share, c in sorted(classes.items())], F.lit(0.0))
     other = lambda x: F.size(F.filter(x, lambda t: ~t.isin(vocabulary))).cast("double")
-    numbered = shelf.put("numbered", split.select("doc_id", "lines", F.transform("lines", weigh).alias("heavy"), F.transform("lines", other).alias("other")))
+    # of texts with a heavy term only, and written: what follows refers to the lines many times
+    some = own.filter(F.arrays_overlap(_terms(F.col("text")), have))
+    numbered = shelf.put("numbered", some.select("doc_id", lines.alias("lines"), F.transform(lines, weigh).alias("heavy"), F.transform(lines, other).alias("other")))
     windows = numbered.select("doc_id", F.explode(_windows()).alias("w")).select("doc_id", "w.at", "w.size", "w.terms")
     # counted before the shuffle, as a window is in one task
     tf = windows.select("doc_id", "at", "size", F.explode("terms").alias("term")).groupBy("doc_id", "at", "size", "term").agg(F.count("*").alias("tf"))
@@ -208,7 +209,7 @@ def scan(files: DataFrame) -> DataFrame:
     own = best.groupBy("doc_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.min(F.when(F.col("size") == 0, F.struct((-F.col("cosine")).alias("c"), "license"))).alias("whole"))
     own = own.withColumn("b", F.coalesce("whole", "b"))
     own = shelf.put("own", own.select("doc_id", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.col("whole").isNotNull().alias("mostly")))
-    shelf.drop("weighted", "lines", "numbered")
+    shelf.drop("weighted", "numbered")
 
     places = files.select("doc_id", "path", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")).alias("dir"))
     marked = places.join(own, "doc_id", "left").withColumn("is_file", F.col("license").isNotNull() & (F.coalesce("mostly", F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))))
