@@ -16,6 +16,8 @@ K1, B = 1.2, 0.75
 DIGITS = 9
 
 
+#: Rows (query, term) of a query set that are sent to all executors at most.
+TERMS = 50_000
 #: Folders of terms by hash: a query reads only those of its terms.
 BUCKETS = 64
 
@@ -87,6 +89,10 @@ def scores_from(index: Index, queries: DataFrame, known: DataFrame | None = None
     With ``known`` (id) only those documents are ranked; frequencies stay those of the whole index.
     """
     terms = query_terms(queries, index.analyze)
+    # few terms are made once, and sent around as they are; more stay a table like any other
+    got = terms.limit(TERMS + 1).toArrow()
+    if got.num_rows <= TERMS:
+        terms = F.broadcast(queries.sparkSession.createDataFrame(got, terms.schema))
     asked = terms.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
     tf = index.terms.join(asked, ["bucket", "term"]).select("field", "term", "id", "dl", "tf")
     return _scored(tf, index.sizes, terms, known)

@@ -41,6 +41,15 @@ class CodeRecallConfig:
     stem: bool = True
 
 
+#: Rows of results that are sent to all executors at most; larger ones are joined by the engine's own choice.
+SENT = 200_000
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """The table, marked to be sent around if it has at most so many ``rows`` and these are few."""
+    return F.broadcast(df) if rows <= SENT else df
+
+
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(qid, tokens): each query's tokens, then its synonyms' expansions that aren't among them in whatever case.
 
@@ -81,10 +90,11 @@ def recall(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, syn
     if not streams:
         raise ValueError("vectors are needed in this mode")
     fused = fusion.fuse(streams, config.rrf_k)
-    # no hint: the engine sends the smaller side around where it knows that it is small
-    grouped = corpus.select("id", "grp").join(fused, "id")
+    # a query has at most so many hits in each stream, and ``limit`` results
+    n = queries.count()
+    grouped = corpus.select("id", "grp").join(_sent(fused, n * config.per_stream * len(streams)), "id")
     best = fusion.diversify(grouped, "grp", config.cap, limit)
-    return corpus.join(best.drop("grp"), "id").select("qid", "position", "id", "grp", "score", *[c for c in corpus.columns if c not in ("id", "grp")])
+    return corpus.join(_sent(best.drop("grp"), n * limit), "id").select("qid", "position", "id", "grp", "score", *[c for c in corpus.columns if c not in ("id", "grp")])
 
 
 def code_scores(chunks: DataFrame, queries: DataFrame, stem: bool = True) -> DataFrame:
@@ -114,10 +124,11 @@ def recall_code(
         streams.append(bm25.top(code_scores(chunks, queries, config.stem) if index is None else bm25.scores_from(index, queries, known), config.per_stream))
     if config.mode != Mode.BM25 and vectors is not None:
         streams.append(bm25.top(vector.scores(vectors.join(chunks.select("id"), "id", "left_semi"), queries, config.per_stream), config.per_stream))
-    fused = chunks.select("id", "path").join(fusion.fuse(streams, config.rrf_k), "id").join(queries.select("qid", path_tokens(F.col("text")).alias("ptoks")), "qid")
+    n = queries.count()
+    fused = chunks.select("id", "path").join(_sent(fusion.fuse(streams, config.rrf_k), n * config.per_stream * len(streams)), "id").join(_sent(queries.select("qid", path_tokens(F.col("text")).alias("ptoks")), n), "qid")
     fused = fusion.boost(fused, segment_matches(F.col("path"), F.col("ptoks")), config.path_boost).drop("ptoks")
     best = fusion.diversify(fused, "path", config.cap, limit)
-    out = chunks.join(best.drop("path"), "id")
+    out = chunks.join(_sent(best.drop("path"), n * limit), "id")
     if listing is not None and files is not None:
         out = with_stale(out, files, listing)
     return out
