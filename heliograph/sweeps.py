@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +34,9 @@ def language_breakdown(made: DataFrame) -> DataFrame:
     return made.groupBy("language").agg(F.count_distinct("path").alias("files"), F.count("*").alias("chunks")).orderBy(F.desc("files"), "language")
 
 
-def call_sizes(made: DataFrame) -> DataFrame:
+def call_sizes(made: DataFrame, bucket: Callable[[Column], Column] = metrics.power_bucket) -> DataFrame:
     """(bucket, calls, chunks, call_share, chunk_share): how many chunks a file's embedding call has."""
-    by = made.groupBy("path").agg(F.count("*").alias("n")).groupBy(metrics.power_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("calls"), F.sum("n").alias("chunks"))
+    by = made.groupBy("path").agg(F.count("*").alias("n")).groupBy(bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("calls"), F.sum("n").alias("chunks"))
     totals = by.agg(F.sum("calls").alias("c"), F.sum("chunks").alias("k"))
     return by.join(F.broadcast(totals)).select("bucket", "calls", "chunks", F.round(F.col("calls") / F.col("c"), 6).alias("call_share"), F.round(F.col("chunks") / F.col("k"), 6).alias("chunk_share"))
 

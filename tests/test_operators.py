@@ -116,3 +116,16 @@ def test_chunker():
 def test_chunks_on_a_table(spark):
     files = spark.createDataFrame([("a.py", "python", "def f():\n    return 1\n"), ("b.py", "python", None), ("c.py", "python", "")], "path string, language string, source string")
     assert [(r["path"], r["qualified"]) for r in chunker.chunks(files).collect()] == [("a.py", "f")]
+
+
+def test_call_sizes_as_in_the_sql_beyond_16_chunks(spark, tmp_path):
+    import duckdb
+
+    from heliograph.plans.catalog import ORACLE_SQL, QUERIES
+
+    keys = [(k,) for k, n in enumerate([1, 4, 5, 9, 16, 17, 40, 200]) for _ in range(n)]
+    spark.createDataFrame(keys, "l_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = QUERIES["call_sizes"](spark, str(tmp_path)).select("bucket", "calls", "chunks", "call_share", "chunk_share")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE_SQL["call_sizes"]).fetchall())
