@@ -76,10 +76,15 @@ def scores(corpus: DataFrame, queries: DataFrame, analyze: Callable[[Column], Co
     The corpus is read once for the sizes and once for the terms. Only the queries' terms pass
     the first join, whose other side is the query set; so what is shuffled is what they match.
     """
-    terms = query_terms(queries, analyze)
+    return scores_of(corpus, query_terms(queries, analyze), analyze, fields)
+
+
+def scores_of(corpus: DataFrame, terms: DataFrame, analyze: Callable[[Column], Column] = default_tokens, fields: tuple[str, ...] = ("body",)) -> DataFrame:
+    """``scores`` by the queries' terms (qid, term, qtf), which the caller can have sent around."""
     parts = _tokens(corpus, analyze, fields)
     sizes = parts.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    tf = parts.select("id", "field", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    # outer: else Spark would test the tokens' number first, and make them twice; the join drops the nulls
+    tf = parts.select("id", "field", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).join(terms.select("term").distinct(), "term").groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
     return _scored(tf, sizes, terms)
 
 

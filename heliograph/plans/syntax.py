@@ -1,16 +1,20 @@
 """A lenient query syntax: words, "phrases", +must, -must not, AND/OR/NOT, field:word.
 
 A word that the analyzer takes apart is a phrase. Parsing is on the driver (queries are short);
-the parsed query runs as semi and anti joins around the BM25 of its positive words.
+the parsed query runs as a semi join with what its clauses allow around the BM25 of its positive words.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.text import default_tokens
@@ -51,20 +55,37 @@ def parse(text: str, fields: tuple[str, ...] = ("body",)) -> list[Clause]:
     return out
 
 
-def _holds(corpus: DataFrame, clause: Clause, fields: tuple[str, ...], analyze: Callable[[Column], Column]) -> DataFrame:
-    """Ids of documents with the clause's tokens next to each other, in its field or any."""
-    tokens = analyze(F.lit(clause.text))
-    n = F.size(tokens)
+def _tokens_of(spark: SparkSession, texts: list[str], analyze: Callable[[Column], Column]) -> list[list[str]]:
+    """The analyzer's tokens of each text, made once on the driver."""
+    row = spark.range(1).select(*[analyze(F.lit(t)).alias(str(k)) for k, t in enumerate(texts)]).first()
+    return [list(x or []) for x in row]
 
-    def has(field: str) -> Column:
-        own = analyze(F.coalesce(F.col(field), F.lit("")))
-        at = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(at, lambda i: F.slice(own, i, n) == tokens)
 
-    ok = F.lit(False)
-    for f in [clause.field] if clause.field else fields:
-        ok = ok | has(f)
-    return corpus.filter((n > 0) & ok).select("id")
+def _follow(own: Column, tokens: list[str]) -> Column:
+    """Whether the tokens are next to each other in a text's tokens."""
+    if len(tokens) < 2:
+        return F.array_contains(own, tokens[0]) if tokens else F.lit(False)
+    n, words = len(tokens), F.array(*map(F.lit, tokens))
+    at = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.exists(at, lambda i: (F.element_at(own, i) == tokens[0]) & (F.slice(own, i, F.lit(n)) == words))
+
+
+def _matching(corpus: DataFrame, clauses: list[Clause], tokens: list[list[str]], fields: tuple[str, ...], analyze: Callable[[Column], Column]) -> DataFrame:
+    """Ids of documents with every must, no not and, if there is nothing else, any should.
+
+    A document's tokens are the variable of a lambda, so they are made once: an expression inside
+    a lambda would be evaluated anew at every place of the text.
+    """
+    used = list(dict.fromkeys([*fields, *(c.field for c in clauses if c.field)]))
+    own = F.struct(*[analyze(F.coalesce(F.col(f), F.lit(""))).alias(str(k)) for k, f in enumerate(used)])
+
+    def ok(t: Column) -> Column:
+        has = [(c.occur, reduce(or_, [_follow(t[str(used.index(f))], own_) for f in ([c.field] if c.field else fields)])) for c, own_ in zip(clauses, tokens, strict=True)]
+        either = [x for occur, x in has if occur == "should"]
+        must = [x for occur, x in has if occur == "must"] or ([reduce(or_, either)] if either else [])
+        return reduce(and_, [*must, *(~x for occur, x in has if occur == "not")])
+
+    return corpus.filter(F.exists(F.array(own), ok)).select("id")
 
 
 def search(corpus: DataFrame, text: str, limit: int = 50, fields: tuple[str, ...] = ("body",), analyze: Callable[[Column], Column] = default_tokens, qid: int = 0) -> DataFrame:
@@ -72,24 +93,15 @@ def search(corpus: DataFrame, text: str, limit: int = 50, fields: tuple[str, ...
     clauses = parse(text, fields)
     spark = corpus.sparkSession
     positive = [c for c in clauses if c.occur != "not"]
-    scored = None
-    for field in dict.fromkeys(c.field for c in positive):
-        words = " ".join(c.text for c in positive if c.field == field)
-        own = bm25.scores(corpus, spark.createDataFrame([(qid, words)], "qid long, text string"), analyze, (field,) if field else fields)
-        scored = own if scored is None else scored.unionByName(own)
-    if scored is None:
+    if not positive:
         return spark.createDataFrame([], "qid long, id long, score double, rank long")
+    scored, groups = None, list(dict.fromkeys(c.field for c in positive))
+    made = _tokens_of(spark, [*(" ".join(c.text for c in positive if c.field == field) for field in groups), *(c.text for c in clauses)], analyze)
+    for field, words in zip(groups, made, strict=False):
+        count = Counter(words)
+        terms = F.broadcast(spark.createDataFrame(pa.table({"qid": pa.array([qid] * len(count), pa.int64()), "term": pa.array(count, pa.string()), "qtf": pa.array(count.values(), pa.int64())})))
+        own = bm25.scores_of(corpus, terms, analyze, (field,) if field else fields)
+        scored = own if scored is None else scored.unionByName(own)
     scored = scored.groupBy("qid", "id").agg(F.round(F.sum("score"), bm25.DIGITS).alias("score"))
-    loose = [c for c in positive if c.occur == "should"]
-    for c in clauses:
-        if c.occur == "must":
-            scored = scored.join(_holds(corpus, c, fields, analyze), "id", "left_semi")
-        elif c.occur == "not":
-            scored = scored.join(_holds(corpus, c, fields, analyze), "id", "left_anti")
-    if loose and len(loose) == len(positive):
-        any_ = None
-        for c in loose:
-            own = _holds(corpus, c, fields, analyze)
-            any_ = own if any_ is None else any_.unionByName(own)
-        scored = scored.join(any_.distinct(), "id", "left_semi")
+    scored = scored.join(_matching(corpus, clauses, made[len(groups) :], fields, analyze), "id", "left_semi")
     return bm25.top(scored.select("qid", "id", "score"), limit)

@@ -73,3 +73,20 @@ def test_capture_and_recall(spark, engine):
     assert ask(method="x")["error"]["code"] == -32601 and ask(method="tools/call", params={"name": "x"})["error"]["code"] == -32602
     assert e.synonyms("remove", "k8s")["removed"] == 2
     assert e.evict(now=250 + 90 * 86_400) == 1
+
+
+def test_a_phrase_is_looked_up_in_tokens_that_are_made_once(spark):
+    import time
+
+    from heliograph.operators import bm25
+    from heliograph.plans.syntax import search
+
+    long = "beta alpha " * 20_000
+    corpus = spark.createDataFrame([(1, long + "alpha gamma"), (2, long), (3, "alpha gamma delta"), (4, None)], "id long, body string")
+    began = time.perf_counter()
+    assert {r["id"] for r in search(corpus, '+"alpha gamma" -delta').collect()} == {1}
+    assert {r["id"] for r in search(corpus, '"alpha gamma" "gamma delta"').collect()} == {1, 3}
+    assert {r["id"] for r in search(corpus, "alpha -beta").collect()} == {3}
+    assert time.perf_counter() - began < 60
+    want = bm25.scores(corpus, spark.createDataFrame([(0, "alpha gamma gamma")], "qid long, text string")).filter("id = 3").first()["score"]
+    assert search(corpus, "alpha gamma +gamma").filter("id = 3").first()["score"] == want
