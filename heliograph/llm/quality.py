@@ -2,15 +2,19 @@
 
 A document's score is linear in features of its text. For a pair of documents of which one is
 preferred, the model's chance of that preference is the logistic of the score difference, so
-training is logistic regression on feature differences. Pairs are drawn from the labelled
-documents (good over bad). The threshold is a quantile of the scores: as many documents pass
+training is logistic regression on feature differences, over all pairs of labelled
+documents (good over bad). They are not written out: what a document's pairs add depends on its
+own score and on how many documents of the other class have which scores. The threshold is a quantile of the scores: as many documents pass
 as are labelled good; the logistic that maps scores to (0, 1) puts the threshold at ``CUT``.
 
-Learned from at most ``SAMPLE`` labelled documents (chosen by a hash of the id) and ``PAIRS`` pairs.
+Learned from all labelled documents. Their features are written once; each round of the fit reads
+them twice, and only sums and counts of scores come to the driver.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -19,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import arrow_map, extended, in_fold, table
-from heliograph.llm.toxicity import labelled_texts
+from heliograph.llm.common import Shelf, arrow_map, extended, in_fold, table
 
-SAMPLE, PAIRS, RIDGE = 20_000, 60_000, 1.0
+#: The loss of all pairs is weighed as if they were so many, where they are more.
+PAIRS, RIDGE = 60_000, 1.0
+#: Steps of scores: for the chances of preferences, taken linearly in between, and for their curvature, which only sets the step. Tasks of a pass.
+FINE, COARSE, TASKS = 1 / 64, 1 / 4, 64
 SYMBOL, LOWER, UPPER, DIGIT, BLANK, LINE, BAR, SHOUT, STOP = range(9)
 _kinds: list[np.ndarray] = []
 
@@ -106,32 +112,146 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, 0.3 * x * x, 0.3 * x * x[:, :1], np.tanh(3 * x)], 1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, cut: float, pairs: int = PAIRS, seed: int = 5) -> Model:
-    """Bradley-Terry weights from good-over-bad pairs, then the quantile threshold.
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
-    Up to ``pairs`` pairs there are all of them, beyond that as many drawn with a fixed seed: a bound
-    on the driver's work, which changes weights by sampling noise only.
-    """
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    centre, scale = x.mean(0), x.std(0) + 1e-6
-    z = expand((x - centre) / scale)
-    rng = np.random.default_rng(seed)
-    if len(good) * len(bad) <= pairs:
-        i, j = (a.ravel() for a in np.meshgrid(good, bad, indexing="ij"))
-    else:
-        i, j = rng.choice(good, pairs), rng.choice(bad, pairs)
-    diff, w = z[i] - z[j], np.zeros(z.shape[1])
+
+def _scores_of(m: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    z = expand((x - m.centre) / m.scale)
+    return z, z @ m.weights
+
+
+def _bins(s: np.ndarray, width: float) -> np.ndarray:
+    return np.floor(s / width).astype(np.int64)
+
+
+def _added(parts: list[np.ndarray], low: int, high: int) -> np.ndarray:
+    """Sparse rows (number of a bin, weight) as an array over the bins from low to high."""
+    at, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return np.bincount(at.astype(np.int64) - low, v, high - low + 1)
+
+
+def _pair_sums(own: np.ndarray, other: np.ndarray, weights: np.ndarray, width: float, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each score of ``own`` the weighted sum of ``of(other - own)``; both are evenly spaced by ``width``."""
+    n = len(own)
+    return np.correlate(of(other[0] - own[0] + np.arange(1 - n, len(other)) * width), weights, "valid")[::-1]
+
+
+Pass = Callable[[Callable[[np.ndarray, np.ndarray], tuple]], list[tuple]]
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> tuple:
+    return np.bincount(y, minlength=2), x.sum(0), (x * x).sum(0)
+
+
+def _spread(m: Model):
+    """How many documents of each class have which scores: each is shared out to the two nearest points."""
+
+    def run(x: np.ndarray, y: np.ndarray) -> tuple:
+        out = []
+        for c in (0, 1):
+            s = _scores_of(m, x[y == c])[1] / FINE
+            low = np.floor(s)
+            at, back = np.unique(np.concatenate([low, low + 1]).astype(np.int64), return_inverse=True)
+            out.append((at, np.bincount(back, np.concatenate([low + 1 - s, s - low]), len(at))))
+        return tuple(out)
+
+    return run
+
+
+def _slopes(m: Model, low: list[int], wrong: list[np.ndarray], coarse: list[int], curve: list[np.ndarray]):
+    """The gradient, the curvature's part of single documents, and sums of documents in coarse steps of scores."""
+
+    def run(x: np.ndarray, y: np.ndarray) -> tuple:
+        g, h, means = np.zeros(len(m.weights)), np.zeros((len(m.weights),) * 2), []
+        for c in (0, 1):
+            z, s = _scores_of(m, x[y == c])
+            t = s / FINE - low[c]
+            at = np.clip(np.floor(t).astype(np.int64), 0, len(wrong[c]) - 2)
+            chance = wrong[c][at] * (at + 1 - t) + wrong[c][at + 1] * (t - at)
+            g += (1 - 2 * c) * (chance @ z)
+            row = np.clip(_bins(s, COARSE) - coarse[c], 0, len(curve[c]) - 1)
+            h += (z * curve[c][row, None]).T @ z
+            at, back = np.unique(row, return_inverse=True)
+            total = np.zeros((len(at), z.shape[1]))
+            np.add.at(total, back, z)
+            means.append((at, total))
+        return g, h, *means
+
+    return run
+
+
+def _fit(run: Pass, cut: float, pairs: int) -> Model | None:
+    """The model from passes over all labelled documents; None if a class is missing. ``run`` gives the results of a function of (features, labels) on the parts of the table."""
+    got = [r for r in run(_moments)]
+    n = sum((r[0] for r in got), np.zeros(2, np.int64))
+    if not n.all():
+        return None
+    # sums differ in their last digits with the order of rows: rounded, the model doesn't
+    steady = lambda v, digits: np.array([float(f"{t:.{digits}g}") for t in v])
+    centre = steady(sum(r[1] for r in got) / n.sum(), 9)
+    scale = steady(np.sqrt(np.maximum(sum(r[2] for r in got) / n.sum() - centre**2, 0)) + 1e-6, 6)
+    w = np.zeros(expand(centre[None]).shape[1])
+    share = min(1.0, pairs / (float(n[0]) * float(n[1])))
+    model = lambda: Model(centre, scale, w, 0.0, 1.0)
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
-        step = np.linalg.solve((diff * (p * (1 - p) + 1e-9)[:, None]).T @ diff + RIDGE * np.eye(len(w)), diff.T @ (p - 1) + RIDGE * w)
-        w -= np.clip(step, -2, 2)
+        got = run(_spread(model()))
+        low = [min(int(r[c][0].min()) for r in got if len(r[c][0])) for c in (0, 1)]
+        high = [max(int(r[c][0].max()) for r in got if len(r[c][0])) for c in (0, 1)]
+        count = [_added([r[c] for r in got], low[c], high[c]) for c in (0, 1)]
+        at = [np.arange(low[c], high[c] + 1) * FINE for c in (0, 1)]
+        # the chance that a pair is taken wrongly, summed over the other class
+        wrong = [_pair_sums(at[c], at[1 - c], count[1 - c], FINE, (lambda d: _sigmoid(d)) if c else (lambda d: _sigmoid(-d))) for c in (0, 1)]
+        bins = [_bins(at[c], COARSE) for c in (0, 1)]
+        first = [int(bins[c][0]) for c in (0, 1)]
+        middle = [(np.arange(first[c], bins[c][-1] + 1) + 0.5) * COARSE for c in (0, 1)]
+        many = [np.bincount(bins[c] - first[c], count[c]) for c in (0, 1)]
+        bend = lambda d: (p := _sigmoid(d)) * (1 - p) + 1e-9
+        curve = [_pair_sums(middle[c], middle[1 - c], many[1 - c], COARSE, bend) for c in (0, 1)]
+        got = run(_slopes(model(), low, wrong, first, curve))
+        total = [np.zeros((len(middle[c]), len(w))) for c in (0, 1)]
+        for r in got:
+            for c in (0, 1):
+                total[c][r[2 + c][0]] += r[2 + c][1]
+        cross = total[1].T @ bend(middle[0] - middle[1][:, None]) @ total[0]
+        h = share * (sum(r[1] for r in got) - cross - cross.T) + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(h, share * sum(r[0] for r in got) + RIDGE * w)
+        w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
-    # as many pass as are labelled good: halfway between the two scores at that quantile
-    ordered, bads = np.sort(s), len(bad)
-    threshold = float((ordered[bads - 1] + ordered[bads]) / 2)
-    return Model(centre, scale, w, threshold, float(4 / (s.std() + 1e-9)))
+    w = np.round(w, 6)
+    threshold, spread = _quantile(run, model(), int(n[0]))
+    return Model(centre, scale, w, threshold, float(4 / (spread + 1e-9)))
+
+
+def _quantile(run: Pass, m: Model, bads: int) -> tuple[float, float]:
+    """Halfway between the scores at the places bads and bads + 1 of all documents, so as many pass as are labelled good; and the scores' deviation."""
+
+    def counted(x, y):
+        s = _scores_of(m, x)[1]
+        return *np.unique(_bins(s, FINE), return_counts=True), s.sum(), (s * s).sum(), len(s)
+
+    got = run(counted)
+    at = np.unique(np.concatenate([r[0] for r in got]))
+    upto = np.cumsum(np.bincount(np.searchsorted(at, np.concatenate([r[0] for r in got])), np.concatenate([r[1] for r in got]), len(at)))
+    k = [int(np.searchsorted(upto, bads - 1 + j, side="right")) for j in (0, 1)]
+
+    def near(x, y):
+        s = _scores_of(m, x)[1]
+        own = np.unique(s[np.isin(_bins(s, FINE), at[k])], return_counts=True)
+        return own
+
+    found = run(near)
+    s, back = np.unique(np.concatenate([r[0] for r in found]), return_inverse=True)
+    place = np.cumsum(np.bincount(back, np.concatenate([r[1] for r in found]), len(s))) + (upto[k[0] - 1] if k[0] else 0)
+    two = [float(s[np.searchsorted(place, bads - 1 + j, side="right")]) for j in (0, 1)]
+    n, mean = sum(r[4] for r in got), sum(r[2] for r in got) / sum(r[4] for r in got)
+    return (two[0] + two[1]) / 2, float(f"{np.sqrt(max(sum(r[3] for r in got) / n - mean**2, 0)):.9g}")
+
+
+def fit(x: np.ndarray, y: np.ndarray, cut: float, pairs: int = PAIRS) -> Model:
+    """Bradley-Terry weights from all good-over-bad pairs, then the quantile threshold."""
+    return _fit(lambda f: [f(x, y)], cut, pairs)
 
 
 def value(m: Model, x: np.ndarray, cut: float) -> np.ndarray:
@@ -139,7 +259,7 @@ def value(m: Model, x: np.ndarray, cut: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m.slope * (s - m.threshold) + np.log(cut / (1 - cut)), -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, cut: float, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, cut: float) -> Model | None:
     """From labels (doc_id, quality) and documents (doc_id, text); None if a class is missing.
 
     Null labels and ids are passed over, null texts are empty, a document with several labels has
@@ -149,14 +269,31 @@ def train(docs: DataFrame, labels: DataFrame, cut: float, sample: int = SAMPLE)
     def described(it):
         for b in it:
             x = np.concatenate([features(k.texts) for _, _, k in tk.blocks(b.column(0).to_pylist())] or [np.zeros((0, len(NAMES)))])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
-
-    got = arrow_map(labelled_texts(docs, labels, "quality", sample), described, "x array<double>, label int").toArrow()
-    y = got.column("label").to_numpy()
-    if len(set(y.tolist())) < 2:
-        return None
-    order = np.lexsort([*(x := np.array(got.column("x").to_pylist())).T, y])  # the same model whatever the order of rows
-    return fit(x[order], y[order], cut)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "doc_id"])
+
+    # features before the join: they are what is moved, not the texts
+    made = arrow_map(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")), described, "x array<double>, doc_id long")
+    own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("label"))
+    shelf = Shelf(docs.sparkSession, "quality")
+    known = shelf.put("features", made.join(own, "doc_id").select("x", "label"))
+
+    def run(f) -> list[tuple]:
+        def part(it):
+            xs, ys = [], []
+            for b in it:
+                xs.append(b.column(0).flatten().to_numpy().reshape(-1, len(NAMES)))
+                ys.append(b.column(1).to_numpy())
+                if sum(map(len, ys)) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(np.concatenate(xs), np.concatenate(ys)))], pa.binary())], names=["v"])
+                    xs, ys = [], []
+            if ys:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(np.concatenate(xs), np.concatenate(ys)))], pa.binary())], names=["v"])
+
+        return [pickle.loads(v) for v in arrow_map(known.coalesce(TASKS), part, "v binary").toArrow().column("v").to_pylist()]
+
+    model = _fit(run, cut, PAIRS)
+    shelf.clear()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str], cut: float, text_col: str = "text") -> DataFrame:

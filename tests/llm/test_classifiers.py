@@ -247,3 +247,25 @@ def test_markov_models_against_a_loop(spark):
     chars = sorted({c for u in distinct for c in u} | {"\x03"})
     for context in ("", "\x02http", "x/pp", "zz"):
         assert sum(probability(1, context, c) for c in chars) <= 1 + 1e-9
+
+
+def test_all_pairs_are_learned_from():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, len(quality.NAMES)))
+    y = (x[:, 2] - x[:, 5] + 0.5 * rng.standard_normal(300) > -0.8).astype(int)
+    m = quality.fit(x, y, 0.7, pairs=2_000)
+    # the same with all pairs written out
+    z = quality.expand((x - m.centre) / m.scale)
+    i, j = (a.ravel() for a in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0), indexing="ij"))
+    diff, w, share = z[i] - z[j], np.zeros(z.shape[1]), 2_000 / len(i)
+    assert share < 0.2
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
+        w -= np.clip(np.linalg.solve(share * (diff * (p * (1 - p) + 1e-9)[:, None]).T @ diff + quality.RIDGE * np.eye(len(w)), share * (diff.T @ (p - 1)) + quality.RIDGE * w), -2, 2)
+    assert np.abs(w - m.weights).max() < 1e-3
+    s, bads = np.sort(z @ m.weights), int((y == 0).sum())
+    assert abs(m.threshold - (s[bads - 1] + s[bads]) / 2) < 1e-9
+    # in parts and in another order of rows it is the same model
+    o = rng.permutation(300)
+    parts = quality._fit(lambda f: [f(x[k], y[k]) for k in (o[:7], o[7:])], 0.7, 2_000)
+    assert all(np.allclose(a, b, rtol=0, atol=1e-8) for a, b in zip(m, parts, strict=True))
