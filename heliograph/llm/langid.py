@@ -5,8 +5,8 @@ its character n-grams (with word bounds), from five characters down to one, and
 the mean log frequency of the longest order that has a known n-gram. A text's languages get
 the posterior of the summed scores.
 
-Learned from at most ``SAMPLE`` labelled texts (chosen by a hash of the id), which bounds the
-tables that are sent to the workers; every text is scored whole.
+Learned from all labelled texts; every text is scored whole. The tables that are sent to the workers
+have the words and n-grams of all of them, so they grow with the vocabulary.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm import textkit as tk
-from heliograph.llm.common import arrow_map, batch, extended, in_fold, share_under, table, unused
+from heliograph.llm.common import arrow_map, batch, extended, in_fold, table, unused
 
-#: Labelled texts learned from, the longest n-gram, and the least count of a word or n-gram that is kept.
-SAMPLE, LONGEST, LEAST, SMOOTH, CERTAIN = 8_000, 5, 2, 0.5, 3
+#: The longest n-gram, and the least count of a word or n-gram that is kept.
+LONGEST, LEAST, SMOOTH, CERTAIN = 5, 2, 0.5, 3
 WORD = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -70,15 +70,17 @@ def _counts(it):
                 yield batch(COUNTS, [[lang] * len(keys), [kind] * len(keys), tk.signed(keys), n])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Counts on the executors; the driver gets the counts of a bounded sample's words and n-grams.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Counts on the executors, of all labelled texts; the driver gets those of words and n-grams.
 
-    Words and n-grams that the sample has less than ``LEAST`` times in a language don't count for it;
+    Words and n-grams that the texts have less than ``LEAST`` times in a language don't count for it;
     a language all of whose are so rare is not learned. Null texts, languages and ids are passed over,
     repeated rows count once. Frequencies are relative to the language's words, or n-grams of the same length.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-    part = share_under(known, F.col("id"), sample, known.count()).distinct().select("text", "lang")
+    # texts are moved only where an id is there more than once
+    repeated = known.groupBy("id").count().filter("count > 1").limit(1).count()
+    part = (known.distinct() if repeated else known).select("text", "lang")
     counts = arrow_map(part, _counts, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
     got = counts.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))

@@ -269,3 +269,11 @@ def test_all_pairs_are_learned_from():
     o = rng.permutation(300)
     parts = quality._fit(lambda f: [f(x[k], y[k]) for k in (o[:7], o[7:])], 0.7, 2_000)
     assert all(np.allclose(a, b, rtol=0, atol=1e-8) for a, b in zip(m, parts, strict=True))
+
+
+def test_languages_are_learned_from_all_labelled_texts(spark):
+    """20,000 texts, each with a word that only it has (twice): all of them are known."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some common"), *[F.translate(F.concat(F.lit("w"), F.col("id").cast("string")), "0123456789", "abcdefghij")] * 2).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    assert len(langid.train(docs).word_scores[0]) == 20_002
+    # repeated rows count once
+    assert len(langid.train(docs.unionByName(docs)).word_scores[0]) == 20_002
